@@ -9,15 +9,13 @@ row as landmark the map is exact.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..base import Fitted, Learner, class_list, label_index, label_value
 from ..functions.algebra import affine, arg_max, matrix_column, squared_distances
-from ..functions.vectors import feature_vector, to_matrix, width
-from ..plans.gram import column_moments, gram
+from ..functions.vectors import to_matrix, width
+from ..plans.gram import column_moments, cross_sums, gram, row_sums
 
 
 def kernel_block(settings: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,7 +59,7 @@ class _KernelLearner(Learner):
         "gamma": "scale",
         "degree": 3,
         "coef0": 0.0,
-        "n_landmarks": 500,
+        "n_landmarks": 256,
         "max_iter": 200,
         "tol": 1e-6,
         "random_state": 0,
@@ -104,30 +102,71 @@ class SVCModel(_KernelModel):
 
 
 class SVC(_KernelLearner):
-    """Hinge loss, ``C * sum(loss) + |w|^2 / 2``; more than two classes one against the rest."""
+    """Hinge loss, ``C * sum(loss) + |w|^2 / 2``; more than two classes one against the rest.
+
+    The kink of the hinge is rounded over a width that shrinks to ``smoothing`` (Chapelle
+    2007), which gives Newton rounds: about ten passes over the rows instead of hundreds,
+    with a loss within smoothing / 4 of the hinge.
+    """
+
+    HYPER = {"smoothing": 0.1, "max_iter": 40, "tol": 1e-3}
 
     def _train(self, df: DataFrame) -> Fitted:
         d = width(df, self.setting("features_col"))
         classes = class_list(df, self.setting("label_col"))
         state = self._lift(df, d)
-        if state["kernel"] == "linear":
-            z = feature_vector(df, self.setting("features_col"), self.setting("handle_invalid"))
-        else:
-            z = array_to_vector(matrix_column(kernel_map(state), self._x(df)))
-        rows = df.select(z.alias("features"), label_index(self.setting("label_col"), classes).alias("class")).persist()
+        r = d if state["kernel"] == "linear" else state["root"].shape[1]
+        rows = df.select(self._x(df).alias("x"), label_index(self.setting("label_col"), classes).alias("class"))
+        rows = rows.persist()
         try:
-            strength = 1.0 / (self.setting("C") * rows.count())
-            coef, intercept = [], []
-            for target in [1] if len(classes) == 2 else range(len(classes)):
-                solver = LinearSVC(
-                    regParam=strength, standardization=False, maxIter=self.setting("max_iter"), tol=self.setting("tol")
-                )
-                fitted = solver.fit(rows.withColumn("label", (F.col("class") == target).cast("double")))
-                coef.append(fitted.coefficients.toArray())
-                intercept.append(fitted.intercept)
+            targets = [1] if len(classes) == 2 else range(len(classes))
+            coef = np.array([self._separate(rows, t, d, r, kernel_map(state)) for t in targets])
         finally:
             rows.unpersist()
-        return SVCModel({**state, "coef": np.array(coef), "intercept": np.array(intercept), "classes": classes})
+        return SVCModel({**state, "coef": coef[:, :-1], "intercept": coef[:, -1], "classes": classes})
+
+    def _separate(self, rows: DataFrame, target: int, d: int, r: int, lift) -> np.ndarray:
+        c, columns = self.setting("C"), [F.col("x"), F.col("class")]
+        penalty = np.append(np.ones(r), 1e-8)
+        w, h, h_last = np.zeros(r + 1), 1.0, self.setting("smoothing")
+
+        def read(xs, ys):
+            z = np.hstack([lift(to_matrix(xs, d)), np.ones((len(xs), 1))])
+            return z, np.where(ys.to_numpy(zero_copy_only=False) == target, 1.0, -1.0)
+
+        for _ in range(self.setting("max_iter")):
+
+            def curvature(xs, ys, w=w, h=h):
+                z, y = read(xs, ys)
+                short = 1.0 - y * (z @ w)  # distance below the margin
+                bent = np.abs(short) <= h
+                slope = -y * np.where(short > h, 1.0, np.where(bent, (short + h) / (2.0 * h), 0.0))
+                return z, np.hstack([z * (bent / (2.0 * h))[:, None], slope[:, None]])
+
+            # left block: second derivative; last column: first derivative
+            sums = cross_sums(rows, columns, curvature, r + 1)
+            move = np.linalg.solve(c * sums[:, :-1] + np.diag(penalty), -(penalty * w + c * sums[:, -1]))
+
+            def losses(xs, ys, w=w, h=h, move=move):
+                z, y = read(xs, ys)
+                short = 1.0 - y[:, None] * ((z @ w)[:, None] + (z @ move)[:, None] * STEPS)
+                bent = (short + h) ** 2 / (4.0 * h)
+                return np.where(short > h, short, np.where(short < -h, 0.0, bent)).sum(axis=0)
+
+            totals = c * row_sums(rows, columns, losses)
+            totals += 0.5 * (penalty[:, None] * (w[:, None] + move[:, None] * STEPS) ** 2).sum(axis=0)
+            best = int(totals.argmin())
+            gain = (totals[-1] - totals[best]) / max(abs(totals[-1]), 1e-300)
+            w = w + STEPS[best] * move
+            if gain < self.setting("tol") or STEPS[best] == 0.0:
+                if h <= h_last:
+                    break
+                h = max(h / 3.0, h_last)
+        return w
+
+
+# step lengths tried together in one pass; the last one is the present point
+STEPS = np.array([1.0, 0.6, 0.35, 0.2, 0.1, 0.03, 0.01, 0.0])
 
 
 class SVRModel(_KernelModel):

@@ -43,31 +43,53 @@ def vector_sum(df: DataFrame, column: str) -> np.ndarray | None:
     return None if row["s"] is None or not row["s"].size else row["s"].toArray()
 
 
-def gram(df: DataFrame, columns: list[Column], build: Callable, size: int) -> np.ndarray:
-    """Sum over all rows of ``z zᵀ`` where ``build(*arrow_columns)`` gives the rows z.
+def cross_sums(df: DataFrame, columns: list[Column], build: Callable, size: int) -> np.ndarray:
+    """Sum over all rows of ``z vᵀ`` where ``build(*arrow_columns)`` gives the matrices (z, v).
 
-    Each task keeps one size x size matrix; equal matrix rows meet through a grouped sum.
+    Each task keeps one matrix with ``size`` rows; equal matrix rows meet in a grouped sum.
     """
     if size > MAX_GRAM_WIDTH + 2:
         raise ValueError(f"width {size} is above {MAX_GRAM_WIDTH}; use an iterative solver")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total = None
         for batch in batches:
             if batch.num_rows:
-                z = build(*batch.columns)
-                total += z.T @ z
-        if total.any():
-            rows = pa.array(np.arange(size, dtype=np.int32))
+                left, right = build(*batch.columns)
+                part = left.T @ right
+                total = part if total is None else total + part
+        if total is not None:
+            rows = pa.array(np.arange(len(total), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([rows, to_lists(total)], ["i", "row"])
 
     picked = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     parts = picked.mapInArrow(partial, "i int, row array<double>")
     merged = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
-    out = np.zeros((size, size))
-    for r in merged:
-        out[r["i"]] = r["row"].toArray()
-    return out
+    if not merged:
+        raise ValueError("cannot fit on an empty DataFrame")
+    return np.array([r["row"].toArray() for r in sorted(merged, key=lambda r: r["i"])])
+
+
+def gram(df: DataFrame, columns: list[Column], build: Callable, size: int) -> np.ndarray:
+    """Sum over all rows of ``z zᵀ``."""
+
+    def both(*batch):
+        z = build(*batch)
+        return z, z
+
+    return cross_sums(df, columns, both, size)
+
+
+def row_sums(df: DataFrame, columns: list[Column], build: Callable) -> np.ndarray:
+    """Sum over all batches of the short vector ``build(*arrow_columns)``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(build(*b.columns) for b in batches if b.num_rows)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([to_lists(total[None, :])], ["sums"])
+
+    picked = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return vector_sum(picked.mapInArrow(partial, "sums array<double>"), "sums")
 
 
 def centred_gram(df: DataFrame, x: Column, d: int) -> tuple[int, np.ndarray, np.ndarray]:
