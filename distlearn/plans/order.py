@@ -32,3 +32,23 @@ def dense_index(values: DataFrame, column: str, index: str, small: int = SMALL)
         .withColumn(index, F.col(index) + F.col("_start"))
         .drop("_part", "_start")
     )
+
+
+def running_totals(df: DataFrame, column: str, sums: list[str]) -> DataFrame:
+    """Add ``total_<c>``: the sum of c over all rows up to this one in the order of ``column``.
+
+    Rows are range-partitioned; only one row of partial sums per partition reaches the driver.
+    """
+    ranged = settle(df.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = sorted(ranged.groupBy("_part").agg(*[F.sum(c) for c in sums]).collect())
+    starts, seen = [], [0] * len(sums)
+    for row in parts:
+        starts.append((row[0], *seen))
+        seen = [s + (v or 0) for s, v in zip(seen, row[1:])]
+    kinds = ", ".join(f"_s_{c} {ranged.schema[c].dataType.simpleString()}" for c in sums)
+    offsets = df.sparkSession.createDataFrame(starts, f"_part int, {kinds}")
+    inside = Window.partitionBy("_part").orderBy(column)
+    out = ranged.join(F.broadcast(offsets), "_part")
+    for c in sums:
+        out = out.withColumn(f"total_{c}", F.sum(c).over(inside) + F.col(f"_s_{c}"))
+    return out.drop("_part", *[f"_s_{c}" for c in sums])

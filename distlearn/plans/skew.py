@@ -17,14 +17,17 @@ def hot_join(
     spread: Column,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
     """Join where ``right`` has one row per key and ``weight`` = number of left rows with it.
 
     Keys above ``max(hot_rows, total / 1000)`` rows are salted: the left rows by ``spread``
     (a hash of the row id), the single right row copied once per salt. The list of hot keys
-    has at most 1000 entries and is the only thing broadcast.
+    has at most 1000 entries and is the only thing broadcast. ``total`` = sum of the weights,
+    if the caller knows it.
     """
-    total = right.agg(F.sum(weight)).head()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).head()[0] or 0
     limit = max(hot_rows, total // MAX_HOT_KEYS)
     if total <= limit:
         return left.join(right.drop(weight), on, how)
