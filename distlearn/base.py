@@ -307,15 +307,20 @@ def r_squared(df: DataFrame, y: Column, p: Column) -> float:
     return 1.0 - row["mse"] / row["var"]
 
 
-def class_list(df: DataFrame, label: str) -> list:
-    """Sorted distinct labels; refuses targets that are not classes."""
-    rows = df.select(label).distinct().limit(MAX_CLASSES + 1).collect()
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Sorted labels with their row counts; refuses targets that are not classes."""
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}; is it a regression target?")
-    values = sorted(r[0] for r in rows if r[0] is not None)
-    if len(values) < 2:
-        raise ValueError(f"need at least two classes in {label!r}, found {values}")
-    return values
+    if any(r[0] is None for r in rows):
+        raise ValueError(f"null in label {label!r}; drop those rows or use handle_invalid='skip'")
+    if len(rows) < 2:
+        raise ValueError(f"need at least two classes in {label!r}, found {[r[0] for r in rows]}")
+    return dict(sorted((r[0], r[1]) for r in rows))
+
+
+def class_list(df: DataFrame, label: str) -> list:
+    return list(class_counts(df, label))
 
 
 def label_array(classes: list) -> Column:

@@ -120,6 +120,6 @@ def silhouette(df: DataFrame, features="features", prediction: str = PREDICTION)
 
 def cluster_summary(df: DataFrame, prediction: str = PREDICTION) -> DataFrame:
     """(cluster, n, share); noise is cluster -1."""
+    total = float(df.count())
     counts = df.groupBy(F.col(prediction).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_all"))  # one row
-    return counts.join(F.broadcast(total)).select("cluster", "n", (F.col("n") / F.col("_all")).alias("share"))
+    return counts.withColumn("share", F.col("n") / F.lit(total))

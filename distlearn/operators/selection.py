@@ -65,9 +65,12 @@ def cross_val_report(learners: dict[str, Learner], df: DataFrame, **options) ->
 class GridSearch:
     """Tries every combination of settings by cross-validation; keeps the best, refitted on all rows."""
 
-    def __init__(self, learner: Learner, grid: dict[str, list], folds: int = 5, seed: int = 0, id_col: str = "id"):
+    def __init__(
+        self, learner: Learner, grid: dict[str, list], folds: int = 5, seed: int = 0, id_col: str = "id",
+        fold_col: str | None = None,
+    ):
         self.learner, self.grid = learner, grid
-        self.options = {"folds": folds, "seed": seed, "id_col": id_col}
+        self.options = {"folds": folds, "seed": seed, "id_col": id_col, "fold_col": fold_col}
         self.results_: list[tuple[dict, float, float]] = []
         self.best_params_ = self.best_model_ = None
 

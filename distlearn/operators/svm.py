@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..base import Fitted, Learner, class_list, label_index, label_value
 from ..functions.algebra import affine, arg_max, matrix_column, squared_distances
 from ..functions.vectors import to_matrix, width
+from ..plans.cells import draw_rows
 from ..plans.gram import column_moments, cross_sums, gram, row_sums
 
 
@@ -78,12 +79,9 @@ class _KernelLearner(Learner):
             s["gamma"] = 1.0 / (d * spread) if spread > 0 else 1.0
         elif s["gamma"] == "auto":
             s["gamma"] = 1.0 / d
-        x = self._x(df)
-        draw = F.xxhash64(x, F.lit(int(self.setting("random_state"))))
-        # distinct draws first, so a row that is copied many times is one landmark
-        picked = df.select(x.alias("x"), draw.alias("h")).groupBy("h").agg(F.first("x").alias("x"))
-        rows = picked.orderBy("h").limit(self.setting("n_landmarks")).collect()
-        landmarks = np.array([r["x"] for r in rows], dtype=np.float64)
+        landmarks = draw_rows(
+            df.select(self._x(df).alias("x")), self.setting("n_landmarks"), df.count(), int(self.setting("random_state"))
+        )
         values, vectors = np.linalg.eigh(kernel_block(s, landmarks, landmarks))
         keep = values > values.max() * 1e-10
         return {**s, "landmarks": landmarks, "root": vectors[:, keep] / np.sqrt(values[keep])}

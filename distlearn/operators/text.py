@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..base import Fitted, Learner
+from ..plans.lineage import settle
 from ..plans.skew import hot_join
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"  # words of two or more letters, digits or underscores
@@ -33,11 +34,10 @@ def tf_idf(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
 
     Words found in a large share of the documents are salted in the join.
     """
-    counts = token_counts(df, id_col, text_col, **options).withColumnRenamed("n", "tf")
-    seen = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = settle(token_counts(df, id_col, text_col, **options).withColumnRenamed("n", "tf"), "counts")
     n = df.count()
-    right = seen.withColumn("_n", F.col("df"))
-    joined = hot_join(counts, right, "token", "_n", F.xxhash64(id_col))
+    right = document_frequencies(counts).withColumn("_n", F.col("df"))
+    joined = hot_join(counts, right, "token", "_n", F.xxhash64(id_col), total=counts.count())
     idf = F.log((F.lit(float(n)) + 1.0) / (F.col("df") + 1.0))
     return joined.select(id_col, "token", "tf", "df", (F.col("tf") * idf).alias("tf_idf"))
 

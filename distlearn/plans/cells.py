@@ -26,7 +26,8 @@ MAX_PIVOTS = 4096
 CELL_ROWS = 8192  # wanted rows per cell while there are fewer than MAX_PIVOTS cells
 BLOCK_ROWS = 2048  # rows of a cell handled together
 CHUNK_ROWS = 512  # queries handled together
-SLICE_ROWS = 131_072  # a cell above this many rows (or queries) is split over several tasks
+SLICE_ROWS = 131_072  # a cell with more rows is split over several tasks
+QUERY_SLICE_ROWS = 16_384  # and so is a cell with more queries
 ROUTE_ROWS = 1024  # queries compared with all pivots at once
 LARGE = np.iinfo(np.int64).max
 
@@ -71,11 +72,20 @@ def pivot_count(rows: int, cell_rows: int) -> int:
     return max(1, min(MAX_PIVOTS, -(-rows // cell_rows)))
 
 
-def draw_pivots(points: DataFrame, count: int, seed: int = 0) -> np.ndarray:
-    """``count`` distinct rows, chosen by hash so that copies of a row are drawn once."""
+def draw_rows(points: DataFrame, count: int, rows: int, seed: int = 0) -> np.ndarray:
+    """Up to ``count`` distinct rows of column x, chosen by hash, so copies are drawn once.
+
+    A hash filter keeps about 16 times the wanted number before the grouping, so a large
+    table is read but not shuffled. If copies leave too few, all rows are grouped.
+    """
     drawn = points.select("x", F.xxhash64("x", F.lit(seed)).alias("h"))
-    rows = drawn.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(count).collect()
-    return np.array([r["x"] for r in rows], dtype=np.float64)
+    share = 16.0 * count / max(rows, 1)
+    thin = drawn.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))) if share < 0.5 else drawn
+    for source in (thin, drawn):
+        picked = source.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(count).collect()
+        if 2 * len(picked) > count or source is drawn:
+            break
+    return np.array([r["x"] for r in picked], dtype=np.float64)
 
 
 def assign(points: DataFrame, cells: Cells) -> DataFrame:
@@ -103,7 +113,7 @@ def measure(assigned: DataFrame, cells: Cells, weight: str | None = None) -> Non
         cells.radius[cell], cells.rows[cell], cells.weight[cell] = radius, rows, total
 
 
-def slices(counts: np.ndarray, rows: int = SLICE_ROWS) -> np.ndarray:
+def slices(counts: np.ndarray, rows: int) -> np.ndarray:
     return np.maximum(1, -(-counts // rows))
 
 
@@ -168,7 +178,7 @@ def meet(queries: DataFrame, points: DataFrame, n_queries: np.ndarray, n_points:
 
     ``kernel(rows)`` is a generator over joined records (dicts of numpy arrays).
     """
-    qs, bs = slices(n_queries), slices(n_points)
+    qs, bs = slices(n_queries, QUERY_SLICE_ROWS), slices(n_points, SLICE_ROWS)
     chunks = pack(queries, qs, bs, CHUNK_ROWS, "chunk")
     blocks = pack(points, bs, qs, BLOCK_ROWS, "block")
     joined = chunks.join(blocks, ["cell", "b_slice", "q_slice"])

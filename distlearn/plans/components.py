@@ -46,18 +46,18 @@ def _is_settled(edges: DataFrame) -> bool:
     return nodes.where("out > 1 or (out > 0 and into > 0)").limit(1).count() == 0
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest node next to u."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    met = hot_join(both, least, "u", "n", F.xxhash64("v"))
+    met = hot_join(both, least, "u", "n", F.xxhash64("v"), total=2 * count)
     return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them (edges have u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    met = hot_join(edges, least, "u", "n", F.xxhash64("v"))
+    met = hot_join(edges, least, "u", "n", F.xxhash64("v"), total=count)
     lower = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -76,8 +76,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-        wide = settle(_large_star(now), "large")
-        new = settle(_small_star(wide), "small")
+        wide = settle(_large_star(now, now.count()), "large")
+        new = settle(_small_star(wide, wide.count()), "small")
         discard(now, wide)
         now = new
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

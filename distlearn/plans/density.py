@@ -24,7 +24,7 @@ from .cells import (
     assign,
     block_of,
     cell_counts,
-    draw_pivots,
+    draw_rows,
     measure,
     meet,
     pivot_count,
@@ -44,10 +44,10 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     groups = settle(
         rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "groups"
     )
-    distinct = groups.count()
+    distinct, total = groups.agg(F.count(F.lit(1)), F.sum("weight")).head()
     if distinct == 0:
         return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
-    cells = Cells(draw_pivots(groups, pivot_count(distinct, cell_rows)))
+    cells = Cells(draw_rows(groups, pivot_count(distinct, cell_rows), distinct))
     points = settle(assign(groups, cells), "points")
     measure(points, cells, "weight")
 
@@ -59,7 +59,8 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     answers = groups.join(labelled, "id", "left").select(
         "x", "weight", F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
     )
-    return hot_join(rows.select("id", "x"), answers, "x", "weight", F.xxhash64("id")).select("id", "cluster")
+    joined = hot_join(rows.select("id", "x"), answers, "x", "weight", F.xxhash64("id"), total=total)
+    return joined.select("id", "cluster")
 
 
 def _flag(values: np.ndarray) -> Column:
@@ -167,7 +168,7 @@ def _core_clusters(core: DataFrame, cells: Cells, lumps: np.ndarray, eps: float)
     joined = settle(joined, "rooted")
     firsts = joined.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     numbered = dense_index(firsts, "first", "cluster").select("root", "n", "cluster")
-    clustered = hot_join(joined, numbered, "root", "n", F.xxhash64("id")).drop("root")
+    clustered = hot_join(joined, numbered, "root", "n", F.xxhash64("id"), total=int(filled.rows.sum())).drop("root")
     return settle(clustered.select("cell", "dist", "id", "x", "cluster"), "clustered")
 
 
