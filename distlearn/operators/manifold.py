@@ -218,10 +218,17 @@ class UMAPModel(_MapModel):
         used = edges.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
         places = used.join(table.withColumnRenamed("id", "j"), "j")
         met = hot_join(edges, places, "j", "n", F.xxhash64("i"), total=edges.count())
-        means = [(F.sum(F.col("w") * F.col(y)) / F.sum("w")).alias(y) for y in ys]
+        # at most k places per query, summed in a fixed order
+        places = F.sort_array(F.collect_list(F.struct("j", "w", *ys))).alias("near")
         key = self.setting("id_col")
-        placed = met.groupBy(F.col("i").alias(key)).agg(*means)
-        placed = placed.select(key, F.array(*ys).alias(self.setting("output_col")))
+        lists = met.groupBy(F.col("i").alias(key)).agg(places)
+
+        def total(value):
+            return F.aggregate("near", F.lit(0.0), lambda s, p: s + value(p))
+
+        weight = total(lambda p: p["w"])
+        means = [total(lambda p, y=y: p["w"] * p[y]) / weight for y in ys]
+        placed = lists.select(key, F.array(*means).alias(self.setting("output_col")))
         return df.drop(self.setting("output_col")).join(placed, key)
 
     def _copyValues(self, to, extra=None):
