@@ -19,8 +19,13 @@ def tokens(text: Column, lowercase: bool = True, pattern: str = TOKEN) -> Column
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """(id, token, n): counts are combined on the map side before the shuffle."""
-    words = df.select(id_col, F.explode(tokens(F.col(text_col), **options)).alias("token"))
+    """(id, token, n).
+
+    The texts are shuffled by id once; a text is shorter than its counts, and the grouping
+    by (id, token) then needs no further exchange.
+    """
+    texts = df.select(id_col, text_col).repartition(id_col)
+    words = texts.select(id_col, F.explode(tokens(F.col(text_col), **options)).alias("token"))
     return words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -23,7 +23,7 @@ from ..functions.algebra import squared_distances
 from ..functions.vectors import to_matrix
 
 MAX_PIVOTS = 4096
-CELL_ROWS = 8192  # wanted rows per cell while there are fewer than MAX_PIVOTS cells
+CELL_ROWS = 2048  # wanted rows per cell while there are fewer than MAX_PIVOTS cells
 BLOCK_ROWS = 2048  # rows of a cell handled together
 CHUNK_ROWS = 512  # queries handled together
 SLICE_ROWS = 131_072  # a cell with more rows is split over several tasks
@@ -105,12 +105,18 @@ def assign(points: DataFrame, cells: Cells) -> DataFrame:
     return points.mapInArrow(nearest, f"{fields}, cell int, dist double")
 
 
-def measure(assigned: DataFrame, cells: Cells, weight: str | None = None) -> None:
-    """Fill in the cells' radius, rows and weight from an assigned (and settled) table."""
+def measure(assigned: DataFrame, cells: Cells, weight: str | None = None) -> int | None:
+    """Fill in the cells' radius, rows and weight from an assigned (and settled) table.
+
+    Returns the smallest id, or None for an empty table.
+    """
     heavy = F.sum(weight) if weight else F.count(F.lit(1))
-    found = assigned.groupBy("cell").agg(F.max("dist"), F.count(F.lit(1)), heavy)
-    for cell, radius, rows, total in found.collect():  # at most one row per pivot
+    found = assigned.groupBy("cell").agg(F.max("dist"), F.count(F.lit(1)), heavy, F.min("id"))
+    least = None
+    for cell, radius, rows, total, first in found.collect():  # at most one row per pivot
         cells.radius[cell], cells.rows[cell], cells.weight[cell] = radius, rows, total
+        least = first if least is None else min(least, first)
+    return least
 
 
 def slices(counts: np.ndarray, rows: int) -> np.ndarray:
@@ -128,7 +134,7 @@ def pack(rows: DataFrame, mine: np.ndarray, others: np.ndarray, size: int, side:
     many = bool((mine > 1).any())
     own = F.pmod(F.xxhash64("id"), _pick(mine)).cast("int") if many else F.lit(0)
     spread = rows.withColumn("own", own)
-    spread = spread.repartition("cell", "own") if len(mine) > 1 or many else spread.coalesce(1)
+    spread = spread.repartition(tasks(rows), "cell", "own") if len(mine) > 1 or many else spread.coalesce(1)
     spread = spread.sortWithinPartitions("cell", "own", "dist", "id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +168,16 @@ def pack(rows: DataFrame, mine: np.ndarray, others: np.ndarray, size: int, side:
         packed = packed.withColumn("other", F.lit(0))
     b, q = ("own", "other") if side == "block" else ("other", "own")
     tag = "b_" if side == "block" else "q_"
-    return packed.select(
+    named = packed.select(
         "cell", F.col(b).alias("b_slice"), F.col(q).alias("q_slice"),
         *[F.col(c).alias(tag + c) for c in packed.columns if c not in ("cell", "own", "other")],
     )
+    # the exchange that the join needs, with a fixed task count: few bytes here can mean much work
+    return named.repartition(tasks(rows), "cell", "b_slice", "q_slice")
+
+
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _pick(counts: np.ndarray):

@@ -13,28 +13,38 @@ from .lineage import discard, settle
 from .skew import hot_join
 
 MAX_ROUNDS = 100
+CONTRACT_ROWS = 1_000_000  # edges that one task contracts together
 
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each batch of edges by stars with the same components: fewer edges and rounds."""
+    """Replace edges by stars with the same components, at most CONTRACT_ROWS edges at a time."""
+    held, size = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        root = np.arange(len(nodes))
-        while True:
-            least = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], least)
-            np.minimum.at(new, root[b], least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        far = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["u", "v"])
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CONTRACT_ROWS:
+            yield _stars(held)
+            held, size = [], 0
+    if size:
+        yield _stars(held)
+
+
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    u, v = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    far = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["u", "v"])
 
 
 def _is_settled(edges: DataFrame) -> bool:
@@ -70,9 +80,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ordered = edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    now = settle(ordered.distinct().mapInArrow(contract, "u long, v long").distinct(), "edges")
+    first = settle(ordered.distinct(), "edges")
+    count = first.count()
+    parts = max(1, -(-count // CONTRACT_ROWS))
+    stars = first.coalesce(parts).mapInArrow(contract, "u long, v long")
+    now = settle(stars if parts == 1 else stars.distinct(), "stars")
+    discard(first)
     rounds = 0
-    while not _is_settled(now):
+    while parts > 1 and not _is_settled(now):
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

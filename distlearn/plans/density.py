@@ -53,8 +53,12 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
 
     lumps = (2.0 * cells.radius <= eps) & (cells.weight >= min_samples)
     core = _core_points(points, cells, lumps, eps, min_samples)
-    clustered = _core_clusters(core, cells, lumps, eps)
-    labelled = settle(_with_border(points, clustered, cells, eps), "labelled")
+    filled = Cells(cells.pivots)
+    floor = measure(core, filled)
+    if floor is None:
+        return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
+    clustered = _core_clusters(core, filled, floor, lumps, eps)
+    labelled = settle(_with_border(points, clustered, filled, eps), "labelled")
     discard(core)
     answers = groups.join(labelled, "id", "left").select(
         "x", "weight", F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
@@ -102,14 +106,10 @@ def _core_points(points: DataFrame, cells: Cells, lumps: np.ndarray, eps: float,
     return settle(loose.unionByName(points.where(_flag(lumps))), "core")
 
 
-def _core_clusters(core: DataFrame, cells: Cells, lumps: np.ndarray, eps: float) -> DataFrame:
-    """Core points -> the same with ``cluster`` 0..K-1."""
-    if core.limit(1).count() == 0:
-        return core.withColumn("cluster", F.lit(0).cast("long"))
-    floor = core.agg(F.min("id")).head()[0]  # cells are nodes too, numbered below all ids
-    cell_node = floor - 1 - np.arange(len(cells), dtype=np.int64)
-    filled = Cells(cells.pivots)
-    measure(core, filled)
+def _core_clusters(core: DataFrame, filled: Cells, floor: int, lumps: np.ndarray, eps: float) -> DataFrame:
+    """Core points -> the same with ``cluster`` 0..K-1. ``floor`` is the smallest core id."""
+    # cells are nodes too, numbered below all ids
+    cell_node = floor - 1 - np.arange(len(filled), dtype=np.int64)
     node = F.when(_flag(lumps), F.lit(int(floor) - 1) - F.col("cell")).otherwise(F.col("id"))
     core = core.withColumn("node", node)
 
@@ -127,7 +127,7 @@ def _core_clusters(core: DataFrame, cells: Cells, lumps: np.ndarray, eps: float)
     for (n,) in ends.collect():  # at most one row per cell
         whole[floor - 1 - n] = True
     members = core.where(_flag(whole)).select(F.col("node").alias("u"), (F.lit(int(floor) - 1) - F.col("cell")).alias("v"))
-    group = np.where(whole, np.arange(len(cells)), -1)
+    group = np.where(whole, np.arange(len(filled)), -1)
     if whole.sum() > 1:
         between = connected_components(touched.where((F.col("u") < floor) & (F.col("v") < floor)))
         for n, root in between.collect():  # at most one row per cell
@@ -158,7 +158,7 @@ def _core_clusters(core: DataFrame, cells: Cells, lumps: np.ndarray, eps: float)
             yield from _links(r["q_node"], r["b_node"], within(block_of(r, "q"), block_of(r, "b"), eps))
 
     found = meet(
-        routed, core.select("cell", "dist", "id", "x", "node"), cell_counts(routed, len(cells)), filled.rows, link,
+        routed, core.select("cell", "dist", "id", "x", "node"), cell_counts(routed, len(filled)), filled.rows, link,
         "u long, v long",
     )
     roots = connected_components(sure.unionByName(members).unionByName(found))
@@ -172,11 +172,9 @@ def _core_clusters(core: DataFrame, cells: Cells, lumps: np.ndarray, eps: float)
     return settle(clustered.select("cell", "dist", "id", "x", "cluster"), "clustered")
 
 
-def _with_border(points: DataFrame, core: DataFrame, cells: Cells, eps: float) -> DataFrame:
+def _with_border(points: DataFrame, core: DataFrame, filled: Cells, eps: float) -> DataFrame:
     """(id, cluster) of core points and of the points within eps of one (smallest cluster)."""
-    filled = Cells(cells.pivots)
-    measure(core, filled)
-    best = np.full(len(cells), LARGE)
+    best = np.full(len(filled), LARGE)
     for cell, c in core.groupBy("cell").agg(F.min("cluster")).collect():  # at most one row per cell
         best[cell] = c
 
@@ -207,7 +205,7 @@ def _with_border(points: DataFrame, core: DataFrame, cells: Cells, eps: float) -
             got = c < LARGE
             yield pa.RecordBatch.from_arrays([pa.array(r["q_ids"][got]), pa.array(c[got])], ["id", "cluster"])
 
-    looked = meet(open_rows, core, cell_counts(open_rows, len(cells)), filled.rows, smallest, "id long, cluster long")
+    looked = meet(open_rows, core, cell_counts(open_rows, len(filled)), filled.rows, smallest, "id long, cluster long")
     reached = routed.where("cell < 0").select("id", "cluster").unionByName(looked)
     border = reached.groupBy("id").agg(F.min("cluster").alias("cluster"))
     return core.select("id", "cluster").unionByName(border)

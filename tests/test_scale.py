@@ -1,5 +1,7 @@
 """Exactness under copies, hot keys and many cells; plans without all-pairs joins."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import cells, nearest
+from distlearn.plans import cells, components, lineage, nearest
 from distlearn.plans.components import connected_components
 from distlearn.plans.lineage import settle
 from distlearn.plans.order import dense_index, running_totals
@@ -116,9 +118,14 @@ def test_density_all_noise_and_all_one(spark):
     check_density(df, 100.0, 5)
 
 
+@pytest.fixture(params=[5, 1_000_000])
+def small_contract(request, monkeypatch):
+    monkeypatch.setattr(components, "CONTRACT_ROWS", request.param)
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=60))
-def test_components(spark, pairs):
+def test_components(spark, small_contract, pairs):
     edges = spark.createDataFrame([(a, b) for a, b in pairs], "u long, v long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     parent = {n: n for p in pairs for n in p}
@@ -134,7 +141,8 @@ def test_components(spark, pairs):
     assert got == {n: find(n) for p in pairs if p[0] != p[1] for n in p}
 
 
-def test_components_of_a_long_path_over_many_partitions(spark):
+def test_components_of_a_long_path_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(components, "CONTRACT_ROWS", 40)
     edges = spark.range(0, 400, 1, 20).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(20)
     assert connected_components(edges).where("root <> 0").count() == 0
     assert connected_components(edges).count() == 401
@@ -194,14 +202,27 @@ def test_only_needed_columns_are_read(spark):
     assert "WholeStageCodegen" in plan or "*(1)" in plan
 
 
-def test_shared_folder_follows_the_session_setting(spark, monkeypatch, tmp_path):
-    from distlearn.plans import lineage
+class Session:
+    """Stands in for a session whose settings cannot be changed once it runs."""
+
+    def __init__(self, master, named=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_shared_folder_follows_the_session_setting():
+    assert lineage.shared_folder(Session("spark://a:7077", "hdfs://a/shared/")) == "hdfs://a/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session("spark://a:7077"))
+
 
-    spark.conf.set(lineage.SETTING, str(tmp_path))
-    try:
-        table = settle(spark.range(3))
-        assert table._settled_path.startswith(str(tmp_path))
-        lineage.discard(table)
-        assert not list(tmp_path.glob("distlearn/*"))
-    finally:
-        spark.conf.unset(lineage.SETTING)
+def test_superseded_tables_are_removed(spark):
+    table = settle(spark.range(3))
+    assert table._settled_path.startswith(lineage.shared_folder(spark))
+    assert Path(table._settled_path).exists()
+    lineage.discard(table)
+    assert not Path(table._settled_path).exists()
