@@ -86,6 +86,14 @@ class Configured(Params):
         given = {p.name: v for p, v in self._paramMap.items()}
         return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in sorted(given.items()))})"
 
+    def _give(self, to):
+        """Hand the settings that ``to`` also has on to it."""
+        shared = {p.name for p in to.params}
+        for p, v in self.extractParamMap().items():
+            if p.name in shared:
+                to._set(**{p.name: v})
+        return to
+
     def _need(self, verb: str) -> None:
         if verb not in self.VERBS:
             raise UnsupportedVerb(f"{type(self).__name__} does not support {verb}()")
@@ -246,18 +254,11 @@ class Learner(Configured, Estimator, MLWritable, MLReadable):
         return fitted
 
     def _fit(self, df: DataFrame) -> Fitted:
-        return self._copyValues(self._train(self._rows(df, self.SUPERVISED)))
+        return self._give(self._train(self._rows(df, self.SUPERVISED)))
 
     def _train(self, df: DataFrame) -> Fitted:
         raise NotImplementedError
 
-    def _copyValues(self, to, extra=None):
-        shared = {p.name for p in to.params}
-        for p, v in self.extractParamMap().items():
-            if p.name in shared:
-                to._set(**{p.name: v})
-        return to
-
     def _last(self, verb: str) -> Fitted:
         self._need(verb)
         if self.model_ is None:

@@ -145,5 +145,5 @@ class DBSCAN(Learner):
         found = density_clusters(
             keyed_points(df, self), float(self.setting("eps")), self.setting("min_samples"), self.setting("cell_rows")
         )
-        self.model_ = self._copyValues(DBSCANModel({}, {"labels": settle(found, "labels")}))
+        self.model_ = self._give(DBSCANModel({}, {"labels": settle(found, "labels")}))
         return self.model_.predict(df)

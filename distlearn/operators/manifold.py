@@ -157,8 +157,8 @@ class TSNE(_MapLearner):
         edges = settle(edges, "graph")
         epochs, boost = self.setting("max_iter"), self.setting("early_exaggeration")
         rate = self.setting("learning_rate")
-        rate = max(n / boost / 4.0, 50.0) if rate == "auto" else rate
-        early = epochs // 4
+        rate = max(n / boost / 2.0, 1.0) if rate == "auto" else rate
+        early = epochs // 2
 
         def repel(grid, epoch):
             z = max(grid.pair_total(lambda s: 1.0 / (1.0 + s)), 1e-12)
@@ -173,10 +173,10 @@ class TSNE(_MapLearner):
             return out
 
         positions = run_layout(
-            edges, self._start(df, 1e-4), self.setting("n_components"), epochs,
+            edges, self._start(df, 1.0), self.setting("n_components"), epochs,
             lambda d2: F.lit(1.0) / (d2 + 1.0), repel, advance,
         )
-        self.model_ = self._copyValues(TSNEModel({}, {"positions": positions}))
+        self.model_ = self._give(TSNEModel({}, {"positions": positions}))
         return self.model_.transform(df)
 
 
@@ -210,7 +210,7 @@ class UMAPModel(_MapModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         df = self._input(df)
         finder = NeighborsModel({k: self.state[k] for k in ("pivots", "radius", "rows", "weight", "copies")}, self.tables)
-        finder = self._copyValues(finder)
+        finder = self._give(finder)
         k = min(self.setting("n_neighbors"), int(self.state["rows"].sum()))
         edges = settle(neighbour_weights(finder.kneighbors(df, k), k, umap_weights, False), "reach")
         table = self.tables["positions"]
@@ -231,13 +231,6 @@ class UMAPModel(_MapModel):
         placed = lists.select(key, F.array(*means).alias(self.setting("output_col")))
         return df.drop(self.setting("output_col")).join(placed, key)
 
-    def _copyValues(self, to, extra=None):
-        shared = {p.name for p in to.params}
-        for p, v in self.extractParamMap().items():
-            if p.name in shared:
-                to._set(**{p.name: v})
-        return to
-
 
 class UMAP(_MapLearner):
     """UMAP by batch gradient steps on the fuzzy neighbour graph."""

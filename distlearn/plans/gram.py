@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,18 @@ def column_moments(df: DataFrame, spec: FeatureSpec, *names: str) -> dict[str, n
         d, n = len(cols), row[0]
         out = {name: row[1 + i * d : 1 + (i + 1) * d] for i, name in enumerate(names)}
     else:
-        stats = Summarizer.metrics("count", *names).summary(feature_vector(df, spec, "keep"))
-        row = df.agg(stats.alias("s")).head()["s"]
-        n = row["count"] if row else 0
-        out = {name: row[name].toArray() for name in names} if n else {}
-        if "std" in out:  # the summarizer divides by n - 1
-            out["std"] = np.nan_to_num(out["std"]) * np.sqrt((n - 1) / n)
+        asked = ["variance" if name == "std" else name for name in names]
+        stats = Summarizer.metrics("count", *asked).summary(feature_vector(df, spec, "keep"))
+        try:
+            row = df.agg(stats.alias("s")).head()["s"]
+        except Py4JJavaError as failed:
+            if "Nothing has been added" not in str(failed):
+                raise
+            raise ValueError("cannot fit on an empty DataFrame") from failed
+        n = row["count"]
+        out = {name: row[a].toArray() for name, a in zip(names, asked)}
+        if "std" in out:  # the summarizer's variance divides by n - 1
+            out["std"] = np.sqrt(np.nan_to_num(out["std"]) * ((n - 1) / n))
     if not n:
         raise ValueError("cannot fit on an empty DataFrame")
     return {"count": n, **{k: np.array(v, dtype=np.float64) for k, v in out.items()}}

@@ -234,7 +234,7 @@ def elasticnet_coordinate_descent(spark, folder):
 
 
 SCALED = f"""s AS (SELECT p_partkey, {sql_scaled('part', 'p_size')} AS x1, {sql_scaled('part', 'p_partkey')} AS x2,
-    CASE WHEN p_retailprice > 950 THEN 1 ELSE 0 END AS y, p_retailprice AS t FROM part)"""
+    CASE WHEN p_retailprice > avg(p_retailprice) OVER () THEN 1 ELSE 0 END AS y, p_retailprice AS t FROM part)"""
 
 
 def sql_solve3(h: dict[str, str], g: tuple[str, str, str]) -> list[str]:
@@ -270,7 +270,9 @@ def sql_logistic(c: float) -> str:
 
 
 def _flagged(df: DataFrame) -> DataFrame:
-    return df.withColumn("high", (F.col("p_retailprice") > 950).cast("int"))
+    """Above or below the average price."""
+    mean = df.agg(F.avg("p_retailprice")).head()[0]
+    return df.withColumn("high", (F.col("p_retailprice") > F.lit(mean)).cast("int"))
 
 
 @query(
@@ -306,9 +308,10 @@ def chain_scaler_logistic(spark, folder):
 
 @query("logistic_multinomial")
 def logistic_multinomial(spark, folder):
-    rows = _scaled_part(spark, folder, *TWO).withColumn(
-        "band", F.when(F.col("p_retailprice") > 966, 2).when(F.col("p_retailprice") > 933, 1).otherwise(0)
-    )
+    rows = _scaled_part(spark, folder, *TWO)
+    stats = rows.agg(F.avg("p_retailprice").alias("mean"), F.stddev("p_retailprice").alias("sd")).head()
+    gap = (F.col("p_retailprice") - F.lit(stats["mean"])) / F.lit(stats["sd"])
+    rows = rows.withColumn("band", F.when(gap > 0.5, 2).when(gap > -0.5, 1).otherwise(0))
     model = LogisticRegression(features_col="scaled", label_col="band", max_iter=200).fit(rows)
     return model.predict(rows).select("p_partkey", "band", "prediction")
 
@@ -838,7 +841,7 @@ def hash_split(spark, folder):
 
 @query(
     "dataset_makers",
-    """SELECT kind, count(*) AS n_rows, 0.0 AS mean_0, CASE WHEN kind = 'nonnegative' THEN 0.0 ELSE 1.0 END AS unit_spread
+    """SELECT kind, count(*) AS n_rows, TRUE AS mean_fits, TRUE AS spread_fits
     FROM orders, (VALUES ('gaussian'), ('regression'), ('classification'), ('nonnegative')) AS k(kind) GROUP BY kind""",
 )
 def dataset_makers(spark, folder):
@@ -846,10 +849,12 @@ def dataset_makers(spark, folder):
     out = None
     for kind, make in {"gaussian": make_gaussian, "regression": make_regression, "classification": make_classification,
                        "nonnegative": make_nonnegative}.items():
-        first = F.col("features")[0] if kind != "nonnegative" else F.col("features")[0] - 0.8079
+        first, n = F.col("features")[0], F.count(F.lit(1))
+        # a normal number has mean 0 and spread 1; its absolute value + 0.01 has 0.8079 and 0.6028
+        mean, spread = (0.8079, 0.6028) if kind == "nonnegative" else (0.0, 1.0)
         part = make(ids, n_features=4).agg(
-            F.count(F.lit(1)).alias("n_rows"), rounded(F.avg(first), 1, "mean_0"),
-            rounded(F.floor(F.stddev(first) + 0.05), 1, "unit_spread"),
+            n.alias("n_rows"), (F.abs(F.avg(first) - mean) < 5.0 / F.sqrt(n)).alias("mean_fits"),
+            (F.abs(F.stddev(first) - spread) < 5.0 / F.sqrt(n)).alias("spread_fits"),
         ).select(F.lit(kind).alias("kind"), "*")
         out = part if out is None else out.unionByName(part)
     return out
