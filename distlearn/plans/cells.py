@@ -29,6 +29,8 @@ CHUNK_ROWS = 512  # queries handled together
 SLICE_ROWS = 131_072  # a cell with more rows is split over several tasks
 QUERY_SLICE_ROWS = 16_384  # and so is a cell with more queries
 ROUTE_ROWS = 1024  # queries compared with all pivots at once
+DRAWN_VALUES = 4_000_000  # numbers in a drawn set of rows: 32 MB travel with a task at most
+COPIES = 1000  # equal rows that need no special care
 LARGE = np.iinfo(np.int64).max
 
 
@@ -85,7 +87,14 @@ def draw_rows(points: DataFrame, count: int, rows: int, seed: int = 0) -> np.nda
         picked = source.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(count).collect()
         if 2 * len(picked) > count or source is drawn:
             break
-    return np.array([r["x"] for r in picked], dtype=np.float64)
+    out = np.array([r["x"] for r in picked], dtype=np.float64)
+    return out[: max(1, DRAWN_VALUES // max(out.shape[-1], 1))]
+
+
+def heaviest_copy(rows: DataFrame) -> int:
+    """The size of the largest group of equal x; only 8-byte hashes are shuffled."""
+    groups = rows.groupBy(F.xxhash64("x").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.max("n")).head()[0] or 0
 
 
 def assign(points: DataFrame, cells: Cells) -> DataFrame:

@@ -1,6 +1,6 @@
 """Density clusters (DBSCAN) without a list of neighbouring pairs.
 
-Equal rows are merged into one weighted point. Cells answer most questions at once: a cell
+If many rows are equal, they are merged into one weighted point. Cells answer most questions at once: a cell
 that lies wholly within eps of a point adds its weight without looking inside, and a cell
 of diameter <= eps with enough weight is one lump of core points. Only the remaining cells
 are compared block by block, and each comparison returns at most one row per point: a
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import to_matrix
 from .cells import (
+    COPIES,
     LARGE,
     ROUTE_ROWS,
     Cells,
@@ -25,6 +26,7 @@ from .cells import (
     block_of,
     cell_counts,
     draw_rows,
+    heaviest_copy,
     measure,
     meet,
     pivot_count,
@@ -41,9 +43,12 @@ NOISE = -1
 
 def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: int) -> DataFrame:
     """Rows (id, x) -> (id, cluster); clusters are numbered by their smallest core id, noise is -1."""
-    groups = settle(
-        rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "groups"
-    )
+    merge = heaviest_copy(rows) > COPIES
+    if merge:
+        groups = rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    else:
+        groups = rows.withColumn("weight", F.lit(1).cast("long"))
+    groups = settle(groups, "groups")
     distinct, total = groups.agg(F.count(F.lit(1)), F.sum("weight")).head()
     if distinct == 0:
         return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
@@ -60,9 +65,10 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     clustered = _core_clusters(core, filled, floor, lumps, eps)
     labelled = settle(_with_border(points, clustered, filled, eps), "labelled")
     discard(core)
-    answers = groups.join(labelled, "id", "left").select(
-        "x", "weight", F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
-    )
+    cluster = F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
+    if not merge:
+        return rows.select("id").join(labelled, "id", "left").select("id", cluster)
+    answers = groups.join(labelled, "id", "left").select("x", "weight", cluster)
     joined = hot_join(rows.select("id", "x"), answers, "x", "weight", F.xxhash64("id"), total=total)
     return joined.select("id", "cluster")
 
@@ -126,7 +132,7 @@ def _core_clusters(core: DataFrame, filled: Cells, floor: int, lumps: np.ndarray
     whole = lumps.copy()
     for (n,) in ends.collect():  # at most one row per cell
         whole[floor - 1 - n] = True
-    members = core.where(_flag(whole)).select(F.col("node").alias("u"), (F.lit(int(floor) - 1) - F.col("cell")).alias("v"))
+    members = core.where(_flag(whole & ~lumps)).select(F.col("node").alias("u"), (F.lit(int(floor) - 1) - F.col("cell")).alias("v"))
     group = np.where(whole, np.arange(len(filled)), -1)
     if whole.sum() > 1:
         between = connected_components(touched.where((F.col("u") < floor) & (F.col("v") < floor)))

@@ -306,13 +306,35 @@ def chain_scaler_logistic(spark, folder):
     return scaler_logistic_chain().fit(rows).transform(rows).select("p_partkey", "prediction")
 
 
-@query("logistic_multinomial")
+def sql_multinomial(c: float, steps: int) -> str:
+    """Gradient descent on the penalised softmax loss: three classes, two scaled features and an intercept."""
+    names = [f"w{k}{j}" for k in range(3) for j in range(3)]  # class k; j = 0 is the intercept
+    xs = ("1", "x1", "x2")
+    margin = [f"w{k}0 + w{k}1 * x1 + w{k}2 * x2 AS f{k}" for k in range(3)]
+    soft = [f"exp(f{k} - greatest(f0, f1, f2)) / (exp(f0 - greatest(f0, f1, f2)) + exp(f1 - greatest(f0, f1, f2)) + exp(f2 - greatest(f0, f1, f2))) AS p{k}" for k in range(3)]
+    moves = []
+    for k in range(3):
+        for j in range(3):
+            decay = f" + w{k}{j}" if j else ""
+            moves.append(f"w{k}{j} - ({c} * sum((p{k} - CASE WHEN y = {k} THEN 1 ELSE 0 END) * {xs[j]}){decay}) / ({c} * count(*) + 1)")
+    return f"""WITH RECURSIVE s AS (SELECT p_partkey, {sql_scaled('part', 'p_size')} AS x1, {sql_scaled('part', 'p_partkey')} AS x2,
+    CASE WHEN gap > 0.5 THEN 2 WHEN gap > -0.5 THEN 1 ELSE 0 END AS y
+    FROM (SELECT *, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS gap FROM part) AS part),
+    w AS (SELECT 0 AS i, {', '.join(f'0.0::DOUBLE AS {n}' for n in names)} UNION ALL
+    SELECT i + 1, {', '.join(moves)} FROM (SELECT *, {', '.join(soft)} FROM
+      (SELECT w.*, x1, x2, y, {', '.join(margin)} FROM w, s WHERE i < {steps}) AS a) AS b GROUP BY i, {', '.join(names)}),
+    last AS (SELECT * FROM w WHERE i = {steps})
+    SELECT p_partkey, y AS band, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS prediction
+    FROM (SELECT s.*, {', '.join(margin)} FROM s, last) AS t"""
+
+
+@query("logistic_multinomial", sql_multinomial(0.01, 600))
 def logistic_multinomial(spark, folder):
     rows = _scaled_part(spark, folder, *TWO)
     stats = rows.agg(F.avg("p_retailprice").alias("mean"), F.stddev("p_retailprice").alias("sd")).head()
     gap = (F.col("p_retailprice") - F.lit(stats["mean"])) / F.lit(stats["sd"])
     rows = rows.withColumn("band", F.when(gap > 0.5, 2).when(gap > -0.5, 1).otherwise(0))
-    model = LogisticRegression(features_col="scaled", label_col="band", max_iter=200).fit(rows)
+    model = LogisticRegression(features_col="scaled", label_col="band", C=0.01, tol=1e-12).fit(rows)
     return model.predict(rows).select("p_partkey", "band", "prediction")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import cells, components, lineage, nearest
+from distlearn.plans import cells, components, density, lineage, nearest
 from distlearn.plans.components import connected_components
 from distlearn.plans.lineage import settle
 from distlearn.plans.order import dense_index, running_totals
@@ -21,6 +21,8 @@ from distlearn.plans.skew import hot_join
 def tight(monkeypatch):
     """Limits so low that small tables take the paths of large ones."""
     monkeypatch.setattr(nearest, "COLLAPSE_ROWS", 100)
+    monkeypatch.setattr(nearest, "COPIES", 20)
+    monkeypatch.setattr(density, "COPIES", 20)
     monkeypatch.setattr(cells, "SLICE_ROWS", 150)
     monkeypatch.setattr(cells, "QUERY_SLICE_ROWS", 120)
     monkeypatch.setattr(cells, "BLOCK_ROWS", 64)
