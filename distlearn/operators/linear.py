@@ -40,22 +40,26 @@ class _LinearLearner(Learner):
         """(l1, l2) weights of ``1/(2n) |y - Xw|^2 + l1 |w|_1 + l2/2 |w|^2`` before division by n."""
         raise NotImplementedError
 
-    def _weights(self, df: DataFrame, n: int, wide: bool) -> tuple[float, float]:
+    def _per_row(self, n: int) -> tuple[float, float]:
+        """The penalty as it applies to the mean loss over n rows."""
         return self._penalty()
 
-    def _train(self, df: DataFrame) -> Fitted:
-        label = F.col(self.setting("label_col")).cast("double")
-        wide = width(df, self.setting("features_col")) > MAX_GRAM_WIDTH
-        x = feature_vector(df, self.setting("features_col"), self.setting("handle_invalid"))
-        rows = df.select(x.alias("features"), label.alias("label"))
-        # the normal solver scales the L2 term by the population std of the label,
+    def _scaled_penalty(self, rows: DataFrame, wide: bool) -> tuple[float, float]:
+        # Spark's normal solver scales the L2 term by the population std of the label,
         # the iterative one by the sample std
         spread = F.stddev_samp("label") if wide else F.stddev_pop("label")
         stats = rows.agg(F.count("label").alias("n"), spread.alias("sd")).head()
         if not stats["n"]:
             raise ValueError("cannot fit on an empty DataFrame")
-        l1, l2 = self._weights(df, stats["n"], wide)
-        l2 *= stats["sd"] or 0.0
+        l1, l2 = self._per_row(stats["n"])
+        return l1, l2 * (stats["sd"] or 0.0)
+
+    def _train(self, df: DataFrame) -> Fitted:
+        label = F.col(self.setting("label_col")).cast("double")
+        wide = width(df, self.setting("features_col")) > MAX_GRAM_WIDTH
+        x = feature_vector(df, self.setting("features_col"), self.setting("handle_invalid"))
+        rows = df.select(x.alias("features"), label.alias("label"))
+        l1, l2 = self._scaled_penalty(rows, wide)
         strength = l1 + l2
         solver = SparkLinear(
             regParam=strength,
@@ -71,9 +75,9 @@ class _LinearLearner(Learner):
 
 
 class LinearRegression(_LinearLearner):
-    """Ordinary least squares."""
+    """Ordinary least squares: one pass over the rows."""
 
-    def _penalty(self):
+    def _scaled_penalty(self, rows, wide):
         return 0.0, 0.0
 
 
@@ -82,7 +86,7 @@ class Ridge(_LinearLearner):
 
     HYPER = {"alpha": 1.0}
 
-    def _weights(self, df, n, wide):
+    def _per_row(self, n):
         return 0.0, self.setting("alpha") / n
 
 

@@ -63,8 +63,8 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     if floor is None:
         return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
     clustered = _core_clusters(core, filled, floor, lumps, eps)
-    labelled = settle(_with_border(points, clustered, filled, eps), "labelled")
-    discard(core)
+    labelled = _with_border(points, clustered, filled, eps)
+    discard(core, clustered, points)
     cluster = F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
     if not merge:
         return rows.select("id").join(labelled, "id", "left").select("id", cluster)
@@ -109,7 +109,9 @@ def _core_points(points: DataFrame, cells: Cells, lumps: np.ndarray, eps: float,
     totals = routed.where("cell < 0").select("id", "sure").unionByName(counted)
     dense = totals.groupBy("id").agg(F.sum("sure").alias("sure")).where(F.col("sure") >= need).select("id")
     loose = points.where(~_flag(lumps)).join(dense, "id", "left_semi")
-    return settle(loose.unionByName(points.where(_flag(lumps))), "core")
+    core = settle(loose.unionByName(points.where(_flag(lumps))), "core")
+    discard(routed)
+    return core
 
 
 def _core_clusters(core: DataFrame, filled: Cells, floor: int, lumps: np.ndarray, eps: float) -> DataFrame:
@@ -172,10 +174,13 @@ def _core_clusters(core: DataFrame, filled: Cells, floor: int, lumps: np.ndarray
         core["cell"], core["dist"], core["id"], core["x"], F.coalesce(roots["root"], core["node"]).alias("root")
     )
     joined = settle(joined, "rooted")
+    discard(sure, routed)
     firsts = joined.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     numbered = dense_index(firsts, "first", "cluster").select("root", "n", "cluster")
     clustered = hot_join(joined, numbered, "root", "n", F.xxhash64("id"), total=int(filled.rows.sum())).drop("root")
-    return settle(clustered.select("cell", "dist", "id", "x", "cluster"), "clustered")
+    clustered = settle(clustered.select("cell", "dist", "id", "x", "cluster"), "clustered")
+    discard(joined)
+    return clustered
 
 
 def _with_border(points: DataFrame, core: DataFrame, filled: Cells, eps: float) -> DataFrame:
@@ -214,7 +219,9 @@ def _with_border(points: DataFrame, core: DataFrame, filled: Cells, eps: float)
     looked = meet(open_rows, core, cell_counts(open_rows, len(filled)), filled.rows, smallest, "id long, cluster long")
     reached = routed.where("cell < 0").select("id", "cluster").unionByName(looked)
     border = reached.groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return core.select("id", "cluster").unionByName(border)
+    labelled = settle(core.select("id", "cluster").unionByName(border), "labelled")
+    discard(routed)
+    return labelled
 
 
 def _parts(batches: Iterator[pa.RecordBatch], cells: Cells, key: str = "id"):

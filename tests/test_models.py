@@ -39,6 +39,23 @@ def test_reload_gives_identical_output(spark, train, test, learner):
     assert rows(store.load("m").transform(part)) == rows(model.transform(part)) or "Forest" in type(model).__name__
 
 
+def test_reload_of_maps_and_clusters(spark, blobs):
+    store = dl.ModelStore(spark, tempfile.mkdtemp(prefix="run-"))
+    small = blobs.where("id < 120")
+    clusters = dl.DBSCAN(eps=3.0)
+    labels = clusters.fit_predict(small)
+    clusters.save(store.path("dbscan"))
+    assert rows(store.load("dbscan").predict(small)) == rows(labels)
+    umap = dl.UMAP(max_iter=2, n_neighbors=5)
+    placed = umap.fit(small).transform(blobs.where("id >= 500"))
+    store.save(umap.model_, "umap")
+    assert rows(store.load("umap").transform(blobs.where("id >= 500"))) == rows(placed)
+    tsne = dl.TSNE(max_iter=2, perplexity=5.0)
+    first = tsne.fit_transform(small)
+    store.save(tsne.model_, "tsne")
+    assert rows(store.load("tsne").transform(small)) == rows(first)
+
+
 def test_store_lists_loads_chains_and_checks_names(spark, train):
     store = dl.ModelStore(spark, tempfile.mkdtemp(prefix="run-") + "/models")
     assert store.list_saved().count() == 0
