@@ -132,7 +132,7 @@ def slices(counts: np.ndarray, rows: int) -> np.ndarray:
     return np.maximum(1, -(-counts // rows))
 
 
-def pack(rows: DataFrame, mine: np.ndarray, others: np.ndarray, size: int, side: str) -> DataFrame:
+def pack(rows: DataFrame, mine: np.ndarray, others: np.ndarray, size: int, side: str, keys: list[str]) -> DataFrame:
     """Rows (cell, dist, id, x, more) -> blocks of at most ``size`` rows, one list per column.
 
     A cell's rows are spread over ``mine[cell]`` slices by a hash of the id; each block is
@@ -182,7 +182,7 @@ def pack(rows: DataFrame, mine: np.ndarray, others: np.ndarray, size: int, side:
         *[F.col(c).alias(tag + c) for c in packed.columns if c not in ("cell", "own", "other")],
     )
     # the exchange that the join needs, with a fixed task count: few bytes here can mean much work
-    return named.repartition(tasks(rows), "cell", "b_slice", "q_slice")
+    return named.repartition(tasks(rows), *keys)
 
 
 def tasks(df: DataFrame) -> int:
@@ -200,9 +200,11 @@ def meet(queries: DataFrame, points: DataFrame, n_queries: np.ndarray, n_points:
     ``kernel(rows)`` is a generator over joined records (dicts of numpy arrays).
     """
     qs, bs = slices(n_queries, QUERY_SLICE_ROWS), slices(n_points, SLICE_ROWS)
-    chunks = pack(queries, qs, bs, CHUNK_ROWS, "chunk")
-    blocks = pack(points, bs, qs, BLOCK_ROWS, "block")
-    joined = chunks.join(blocks, ["cell", "b_slice", "q_slice"])
+    # a slice number that is always 0 is no join key: as a constant it would cost an exchange
+    keys = ["cell"] + ["b_slice"] * bool((bs > 1).any()) + ["q_slice"] * bool((qs > 1).any())
+    chunks = pack(queries, qs, bs, CHUNK_ROWS, "chunk", keys)
+    blocks = pack(points, bs, qs, BLOCK_ROWS, "block", keys)
+    joined = chunks.join(blocks.drop(*{"b_slice", "q_slice"}.difference(keys)), keys)
     return joined.mapInArrow(lambda batches: kernel(_records(batches)), schema)
 
 
