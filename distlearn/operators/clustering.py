@@ -15,6 +15,7 @@ from ..plans.cells import CELL_ROWS
 from ..plans.density import density_clusters
 from ..plans.gram import cross_sums
 from ..plans.lineage import settle
+from ..plans.spread import over_all_cores
 from .neighbors import keyed_points
 
 
@@ -72,7 +73,7 @@ class KMeans(Learner):
             k=self.setting("n_clusters"), seed=self.setting("random_state"), maxIter=self.setting("max_iter"),
             tol=self.setting("tol"), initMode="k-means||",
         )
-        fitted = solver.fit(df.select(x.alias("features")))
+        fitted = solver.fit(over_all_cores(df.select(x.alias("features"))))
         return KMeansModel(
             {"centres": np.array(fitted.clusterCenters()), "cost": fitted.summary.trainingCost,
              "rounds": fitted.summary.numIter}
@@ -83,7 +84,7 @@ class KMeans(Learner):
         d, k = width(df, self.setting("features_col")), len(centres)
         if centres.ndim != 2 or centres.shape[1] != d or k != self.setting("n_clusters"):
             raise ValueError(f"init must be n_clusters x {d} numbers, got shape {centres.shape}")
-        rows = df.select(self._x(df).alias("x")).persist()
+        rows = over_all_cores(df.select(self._x(df).alias("x"))).persist()
         try:
             cost, done = 0.0, 0
             for done in range(1, self.setting("max_iter") + 1):

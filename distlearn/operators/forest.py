@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..base import Fitted, Learner, class_list, label_index, label_value
 from ..functions.vectors import feature_vector
+from ..plans.spread import over_all_cores
 
 MAX_TREE_DEPTH = 30  # Spark's limit
 
@@ -73,7 +74,7 @@ class _Forest(Learner):
             seed=self.setting("random_state"),
             **columns,
         )
-        return solver.fit(df.select(x.alias("_forest_x"), label.alias("_forest_y")))
+        return solver.fit(over_all_cores(df.select(x.alias("_forest_x"), label.alias("_forest_y"))))
 
 
 class RandomForestClassifier(_Forest):

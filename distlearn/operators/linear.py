@@ -17,6 +17,7 @@ from ..base import Fitted, Learner, class_counts, label_index, label_value
 from ..functions.algebra import affine, arg_max
 from ..functions.vectors import feature_vector, width
 from ..plans.gram import MAX_GRAM_WIDTH
+from ..plans.spread import over_all_cores
 from .solvers import coordinate_descent, regression_moments
 
 
@@ -192,7 +193,7 @@ class LogisticRegression(Learner):
             maxIter=self.setting("max_iter"),
             tol=self.setting("tol"),
         )
-        fitted = solver.fit(rows)
+        fitted = solver.fit(over_all_cores(rows))
         return LogisticModel(
             {
                 "coef": fitted.coefficientMatrix.toArray(),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import bucket
 from ..functions.vectors import to_lists, to_matrix, width
 from ..plans.gram import centred_gram, vector_sum
+from ..plans.spread import over_all_cores
 
 
 def regression_moments(df: DataFrame, x: Column, label: str, spec) -> dict:
@@ -102,7 +103,7 @@ def minibatch_sgd(df: DataFrame, d: int, settings: dict) -> tuple[np.ndarray, li
     Epoch e splits the rows into batches by a hash of (key, seed, e); each step is one
     aggregate over its batch. The result depends on the rows, not on their partitions.
     """
-    df = df.persist()
+    df = over_all_cores(df).persist()
     try:
         rows = df.count()
         if not rows:

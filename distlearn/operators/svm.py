@@ -17,6 +17,7 @@ from ..functions.algebra import affine, arg_max, matrix_column, squared_distance
 from ..functions.vectors import to_matrix, width
 from ..plans.cells import draw_rows
 from ..plans.gram import column_moments, cross_sums, gram, row_sums
+from ..plans.spread import over_all_cores
 
 
 def kernel_block(settings: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ class SVC(_KernelLearner):
         state = self._lift(df, d)
         r = d if state["kernel"] == "linear" else state["root"].shape[1]
         rows = df.select(self._x(df).alias("x"), label_index(self.setting("label_col"), classes).alias("class"))
-        rows = rows.persist()
+        rows = over_all_cores(rows).persist()
         try:
             targets = [1] if len(classes) == 2 else range(len(classes))
             coef = np.array([self._separate(rows, t, d, r, kernel_map(state)) for t in targets])
@@ -186,7 +187,7 @@ class SVR(_KernelLearner):
         lift, eps, c = kernel_map(state), self.setting("epsilon"), self.setting("C")
         r = d if state["kernel"] == "linear" else state["root"].shape[1]
         columns = [self._x(df), F.col(self.setting("label_col")).cast("double")]
-        rows = df.select(columns[0].alias("x"), columns[1].alias("y")).persist()
+        rows = over_all_cores(df.select(columns[0].alias("x"), columns[1].alias("y"))).persist()
         try:
             w, before = None, None
             for _ in range(self.setting("max_iter")):
