@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,39 +47,66 @@ def crc_fold(doc_id: int | None, modulus: int) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
 
 
-def runs_by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Cut a stream that is sorted by ``keys`` into tables that hold whole keys.
-
-    A table ends where a key ends; at least one key is in each, so only the largest key and one
-    batch are held at a time.
-    """
+def each_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table per key of a stream that is sorted by ``keys``; only the key at hand is held."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows == 0:
+        if not batch.num_rows:
             continue
-        cut = _last_change(batch, keys)
-        if cut == 0 and held and not _same_key(held[-1], batch, keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[held[-1].num_rows - 1].as_py() != v[0]
+        start = 0
+        for at in (*np.flatnonzero(new), batch.num_rows):
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            if at < batch.num_rows and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            start = at
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _same_key(left: pa.RecordBatch, right: pa.RecordBatch, keys: list[str]) -> bool:
-    return all(left.column(k)[left.num_rows - 1] == right.column(k)[0] for k in keys)
-
+def paired_pieces(rows: DataFrame, keys: list[str], spread: Column, limit: int) -> DataFrame:
+    """Rows of each key, so dealt out that every two rows of a key meet in exactly one task.
 
-def _last_change(batch: pa.RecordBatch, keys: list[str]) -> int:
-    """Where the last key of the batch starts."""
-    import numpy as np
-
-    new = np.zeros(batch.num_rows, bool)
-    for k in keys:
-        v = batch.column(k).to_numpy(zero_copy_only=False)
-        new[1:] |= v[1:] != v[:-1]
-    at = np.flatnonzero(new)
-    return int(at[-1]) if len(at) else 0
+    Keys of up to ``limit`` rows stay whole (piece and other are 0). Larger ones are cut into pieces by
+    ``spread``, a hash of the row; each piece meets each piece, itself included, in a task of its own, so a
+    hot key is spread over many tasks. Sorted by the keys, piece and other; ``own`` is the row's piece.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = settle(sizes.withColumn("_pieces", F.ceil(F.col("_n") / limit).cast("int")).drop("_n"), "hot")
+    own = F.pmod(spread, F.coalesce("_pieces", F.lit(1))).cast("int")
+    met = rows.join(hot, keys, "left").withColumn("own", own).withColumn(
+        "_with", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+    )
+    dealt = met.withColumn("piece", F.least("own", "_with")).withColumn("other", F.greatest("own", "_with")).drop("_with", "_pieces")
+    by = [*keys, "piece", "other"]
+    return dealt.repartition(*map(F.col, by)).sortWithinPartitions(*by)
+
+
+def usable_vector(name: str) -> Column:
+    """True for vectors without null or non-finite components that aren't zero."""
+    v = F.col(name)
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` with the same row of ``b``, summed in the order of components."""
+    dot, left, right = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for k in range(a.shape[1]):
+        dot += a[:, k] * b[:, k]
+        left += a[:, k] * a[:, k]
+        right += b[:, k] * b[:, k]
+    return np.clip(dot / np.sqrt(left * right), -1, 1)

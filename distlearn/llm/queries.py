@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, mixing
+from . import bpe, extract, mixing, neighbours, secret_scan, simhash, toxicity, vector_dedup
+from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,94 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+VECTORS_SQL = """v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+NEAREST_SQL = f"""
+WITH {VECTORS_SQL},
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(q.e, d.e) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query("op1_nearest_neighbours", NEAREST_SQL)
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op2_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages"))
+
+
+def _spans_sql(at: int, rule: secret_scan.Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {at} AS pos, '{rule.kind}' AS kind, start, start + length(ms[i]) AS stop FROM (
+    SELECT doc_id, ms, gs, i, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {rule.group}) AS gs, string_split_regex(text, '{p}') AS ps FROM documents)))
+  WHERE length(gs[i]) >= {rule.least}"""
+
+
+SECRETS_SQL = f"""
+WITH spans AS ({" UNION ALL ".join(_spans_sql(at, r) for at, r in enumerate(secret_scan.BASE + secret_scan.FURTHER))}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, pos) FILTER (WHERE pos < {len(secret_scan.BASE)}) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, pos) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op3_secrets", SECRETS_SQL)
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
+@query("op4_simhash")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), fold(4) != 2)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (fold(4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+LINKS_SQL = f"""
+WITH RECURSIVE {VECTORS_SQL},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+
+
+@query("op6_vector_dedup", LINKS_SQL)
+def vector_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
