@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, extract, mixing, neighbours, secret_scan, simhash, toxicity, vector_dedup
+from . import bpe, extract, language_model, mixing, neighbours, passages, secret_scan, simhash, toxicity, vector_dedup
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,12 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_language_model")
+def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = language_model.score(table(spark, folder, "documents"), fold(5) != 1)
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op9_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -159,3 +165,23 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+REPEATS_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs)),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM windows JOIN firsts USING (w) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM docs),
+kept AS (
+  SELECT words.doc_id, count(gone.at) AS n_removed, string_agg(word, ' ' ORDER BY words.at) FILTER (WHERE gone.at IS NULL) AS text
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.at GROUP BY words.doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op10_repeated_passages", REPEATS_SQL)
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
