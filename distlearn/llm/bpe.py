@@ -22,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 CHUNKS = 400_000  # chunks of text that a Python worker remembers, twice
 CHUNK_CHARS = 64  # longer ones are not remembered
 PIECES = 600_000  # matches of the pattern that it remembers
 SHORT = 64  # bytes that are encoded from the end; longer strings from the start
+BATCH_ROWS = 1_000
 PAIRS = 1_000_000  # pairs of tokens that it remembers
 
 
@@ -221,23 +223,29 @@ def encoder(data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids (little-endian unsigned 32-bit), decoded (bytes).
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and n_tokens, ids (little-endian unsigned 32-bit), decoded (bytes).
 
     One pass without a shuffle. A null text is empty: no ids, no bytes. Every row gives one row, also
-    repeated ones; other columns are not read. The rank file (about 1 MB) is read by the driver and
-    broadcast, so that executors need no copy of it.
+    repeated ones; columns called like the new ones are replaced. The rank file (about 1 MB) is read by
+    the driver and broadcast, so that executors need no copy of it.
     """
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    kept = [c for c in docs.columns if c not in (text_col, *(f.name for f in new))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared.value, pattern)
         for batch in batches:
-            ids = [e.encode(t or "") for t in batch.column(1).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            decoded = pa.array([e.decode(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary()), decoded], ["id", "n_tokens", "ids", "decoded"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                ids = [e.encode(t or "") for t in part.column(len(kept)).to_pylist()]
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                decoded = pa.array([e.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], counts, pa.array(ids, pa.binary()), decoded], [*kept, "n_tokens", "ids", "decoded"]
+                )
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), *new])
+    return docs.select(*kept, text_col).mapInArrow(run, schema)

@@ -161,7 +161,7 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
