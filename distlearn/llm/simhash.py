@@ -3,7 +3,8 @@
 Two fingerprints of 64 bits that differ in at most three bits are cut into two halves; one half then
 differs in at most one bit. Every half is indexed under its 32 variants with one bit left out, so
 such halves share a variant, and an equality join finds all pairs; the full fingerprints are
-compared afterwards. Equal fingerprints are one class from the start, so copies cost nothing here.
+compared afterwards. Equal fingerprints are one class from the start, and so are equal halves, so copies
+cost nothing here.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ WORDS = 3  # words of a shingle
 SEED = 42
 NEAR = 3  # bits
 HALF = 32
-BUCKET = 2_048  # fingerprints under one variant that one task compares with each other
+BUCKET = 2_048  # fingerprints that meet and that one task compares with each other
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -57,17 +58,31 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def variants(classes: DataFrame) -> DataFrame:
-    """(variant, fp): each half with each of its bits left out; the variant says which."""
-    at = F.col("_at")
-    half = F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(0xFFFFFFFF)), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    chosen = F.when(at < HALF, half[0]).otherwise(half[1])
-    left = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(HALF)).cast("int"))
-    kept = chosen.bitwiseAND(F.bitwise_not(left))
-    number = F.call_function("shiftleft", at.cast("bigint"), F.lit(HALF))
-    return classes.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(2 * HALF - 1)))).select(
-        number.bitwiseOR(kept).alias("variant"), "fp"
+def halves(classes: DataFrame) -> DataFrame:
+    """(side, half, fp): both halves of each fingerprint."""
+    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    both = F.array(*[F.struct(F.lit(i).alias("side"), h.alias("half")) for i, h in enumerate((F.shiftrightunsigned("fp", HALF), low))])
+    return classes.select("fp", F.explode(both).alias("_h")).select("_h.side", "_h.half", "fp")
+
+
+def neighbouring_halves(known: DataFrame) -> DataFrame:
+    """(side, half, met): halves that differ in one bit, under the variant they share.
+
+    ``known`` has each half once, so a variant has two halves at most: with its bit and without.
+    Spark's partial sums and one number per variant are all that is shuffled.
+    """
+    at, half = F.col("_at"), F.col("half")
+    one = F.lit(1).cast("bigint")
+    bit = F.call_function("shiftleft", one, at)
+    number = F.call_function("shiftleft", (F.col("side") * HALF + at).cast("bigint"), F.lit(HALF))
+    rows = known.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1)))).select(
+        number.bitwiseOR(half.bitwiseAND(F.bitwise_not(bit))).alias("met"), F.when(half.bitwiseAND(bit) == 0, 1).otherwise(2).cast("tinyint").alias("_seen")
     )
+    shared = rows.groupBy("met").agg(F.bit_or("_seen").alias("_seen")).where("_seen = 3")
+    place = F.shiftrightunsigned("met", HALF).cast("int")
+    without = F.col("met").bitwiseAND(F.lit(0xFFFFFFFF))
+    pair = F.array(without, without.bitwiseOR(F.call_function("shiftleft", one, place % HALF)))
+    return shared.select(F.floor(place / HALF).cast("int").alias("side"), F.explode(pair).alias("half"), "met")
 
 
 def spanning_links(values: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +109,23 @@ def spanning_links(values: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np
 def links(classes: DataFrame, bucket: int = BUCKET, near: int = NEAR) -> DataFrame:
     """(u, v): links between different fingerprints that connect all within ``near`` bits.
 
-    A variant with two fingerprints is a pair, which the grouping itself yields. Larger ones are
-    read once more, in pieces where they are hot, and give a spanning set of links, never all pairs.
+    Fingerprints meet if they share a half, or if halves of theirs share a variant. What meets is
+    compared in one task, in pieces where it is much, and gives a spanning set of links, never all pairs.
     """
-    rows = variants(classes)
-    shared = settle(
-        rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "variants"
-    )
-    pairs = shared.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= near).select("u", "v")
-    crowded = rows.join(shared.where("n > 2").select("variant"), "variant")
-    dealt = paired_pieces(crowded, ["variant"], F.xxhash64("fp"), bucket)
+    rows = halves(classes)
+    known = settle(rows.groupBy("side", "half").agg(F.count(F.lit(1)).alias("n")), "halves")
+    own = F.call_function("shiftleft", (F.col("side") + 2 * HALF).cast("bigint"), F.lit(HALF)).bitwiseOR(F.col("half"))
+    equal = known.where("n > 1").select("side", "half", own.alias("met"))
+    meeting = settle(neighbouring_halves(known.select("side", "half")).unionByName(equal), "meeting")
+    dealt = paired_pieces(rows.join(meeting, ["side", "half"]).select("met", "fp"), ["met"], F.xxhash64("fp"), bucket)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in each_key(batches, ["variant", "piece", "other"]):
+        for group in each_key(batches, ["met", "piece", "other"]):
             u, v = spanning_links(group.column("fp").to_numpy().view(np.uint64), near)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return pairs.unionByName(dealt.mapInArrow(run, "u long, v long"))
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
