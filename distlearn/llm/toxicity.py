@@ -5,7 +5,7 @@ subsequences of three letters within a window, each gap shrinking their weight,
 "i d i o t" and "idxiot" stay close to "idiot". Landmarks are the words that labelled texts tie most
 strongly to toxicity. A sentence is described by its largest kernel value with each landmark,
 whitened by the kernel matrix of the landmarks (Nystroem); a linear machine with squared hinge loss
-is trained on the labelled sentences, and a document scores as its worst sentence, put on the scale of
+is trained on the labelled sentences and, with the same weight, on landmarks with a letter put in, and a document scores as its worst sentence, put on the scale of
 a probability by a logistic curve over the labelled documents.
 """
 
@@ -29,8 +29,9 @@ SAMPLE_DOCS = 20_000  # about so many labelled documents, drawn by a hash of the
 LANDMARKS = 48
 LEAST_DOCS = 4  # documents that a landmark occurs in
 ORDER_SPAN = 6  # letters that a subsequence may stretch over
-DECAY = 0.6  # per letter in a gap
-FLOOR = 0.35  # smaller kernel values count as zero
+DECAY = 0.85  # per letter in a gap
+POWERS = (1, 8)  # the machine adds the kernel and a power of it: likeness, and near identity
+FLOOR = 0.45  # smaller kernel values count as zero
 THRESHOLD = 0.3
 
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
@@ -158,6 +159,11 @@ class Reader:
         return out
 
 
+def powers(values: np.ndarray) -> np.ndarray:
+    """Kernel values and their powers, side by side."""
+    return np.concatenate([values.astype(float) ** p for p in POWERS], axis=-1)
+
+
 @dataclass
 class Toxicity:
     """A trained model: ``score`` = logistic(slope * worst sentence + shift)."""
@@ -170,7 +176,7 @@ class Toxicity:
 
     def scores(self, reader: Reader, texts: list[str]) -> np.ndarray:
         alpha = np.array(self.alpha)
-        worst = [max([self.bias, *(self.bias + float(s @ alpha) for s in found)]) for found in reader.sentences(texts)]
+        worst = [max([self.bias, *(self.bias + float(powers(s) @ alpha) for s in found)]) for found in reader.sentences(texts)]
         return 1 / (1 + np.exp(-(self.slope * np.array(worst) + self.shift)))
 
 
@@ -222,6 +228,11 @@ def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
     return [r["word"] for r in top if r["z"] >= top[0]["z"] / 2]
 
 
+def disguised(word: str) -> list[str]:
+    """The word with one letter put in or doubled, at each place."""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", word[i])]
+
+
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps; the last coefficient is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -287,16 +298,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE
     gram = np.zeros((len(landmarks), len(landmarks)))
     at, values = kernel.values(landmarks)
     gram[at] = values
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    value = np.maximum(value, 1e-3)
-    whiten = vector @ np.diag(value**-0.5) @ vector.T
+    gram = (gram + gram.T) / 2
+    whiten = np.zeros((len(POWERS) * len(gram), len(POWERS) * len(gram)))
+    for i, p in enumerate(POWERS):
+        value, vector = np.linalg.eigh(gram**p)
+        block = slice(i * len(gram), (i + 1) * len(gram))
+        whiten[block, block] = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
     others = np.array([r["others"] for r in rows], float)
-    x = np.vstack([*(n.astype(float) @ whiten for n in near), np.zeros((2, len(landmarks)))])
-    sign = np.concatenate([np.repeat(2 * y - 1, [len(n) for n in near]), [1.0, -1.0]])
-    weight = np.concatenate([np.ones(len(x) - 2), [others[y > 0].sum(), others[y == 0].sum()]])
+    at, altered = Kernel(landmarks).values([v for word in landmarks for v in disguised(word)])
+    x = np.vstack([*(powers(n) @ whiten for n in near), powers(altered) @ whiten, np.zeros((2, len(whiten)))])
+    of_sentence = np.repeat(y, [len(n) for n in near])
+    sign = np.concatenate([2 * of_sentence - 1, np.ones(len(at)), [1.0, -1.0]])
+    share = of_sentence.sum() / max(1, len(at))
+    weight = np.concatenate([np.ones(len(of_sentence)), np.full(len(at), share), [others[y > 0].sum(), others[y == 0].sum()]])
     w = machine(x, sign, weight)
     alpha, bias = whiten @ w[:-1], float(w[-1])
-    worst = np.array([max([bias, *(bias + n.astype(float) @ alpha)]) for n in near])
+    worst = np.array([max([bias, *(bias + powers(n) @ alpha)]) for n in near])
     slope, shift = logistic_curve(worst, y)
     return Toxicity(landmarks, alpha.tolist(), bias, slope, shift)
 
