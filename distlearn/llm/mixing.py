@@ -93,16 +93,14 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
     appears in the last epoch with its first words up to the budget, joined by one space; all
     others are whole. Rows that share a doc_id are taken alike.
     """
-    plan = plan_mix(docs, seed, weights).groupBy("doc_id").agg(
-        F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), F.max("part").alias("_part")
+    plan = plan_mix(docs, seed, weights).groupBy(F.col("doc_id").alias("id")).agg(
+        F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.max("part").alias("part")
     )
-    met = docs.alias("d").join(
-        plan.withColumnRenamed("doc_id", "_doc").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("_doc"))
-    )
-    whole = F.col("_part") >= F.col("_size")
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("d.text"), F.lit(f"({WORD})")), 1, F.col("_part").cast("int")), " ")
-    rows = met.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    cut = ~whole & (F.col("_size") > 0) & (F.col("_copy") > F.col("_epochs"))
-    text = F.when(cut, first).otherwise(F.col("d.text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(plan, rows["own"].eqNullSafe(plan["id"]))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
+    taken = met.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
+    cut = (F.col("part") < F.col("size")) & (F.col("copy") > F.col("epochs"))
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
+    return taken.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

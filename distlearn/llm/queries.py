@@ -77,7 +77,7 @@ FROM documents LEFT JOIN listed USING (doc_id)
 
 @query("op3_secrets", SECRETS_SQL)
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents")))
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 @query("op4_simhash")

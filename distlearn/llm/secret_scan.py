@@ -24,6 +24,7 @@ from .common import whole_text
 MOST_STRINGS = 64  # alternatives of one stretch of an expression that are spelled out
 MOST_LETTERS = 4  # letters of a class that are spelled out
 STEP = 256  # lengths summed at a time
+SPANS = "array<struct<start:bigint,at:int,end:bigint,kind:string>>"
 
 Clause = frozenset  # of trigrams that must all occur
 Query = list[set[Clause]]  # every member: at least one of its clauses holds
@@ -176,41 +177,48 @@ def running_sums(lengths: Column) -> Column:
     return F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda p, s: F.transform(p, lambda x: x + s)))
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE + FURTHER) -> DataFrame:
-    """All columns of ``docs`` and ``found``: array of (start, at, end, kind), sorted by start, then rule.
-
-    Offsets count code points of the whole text, end exclusive; ``at`` is the rule's place in the
-    list. Matches of a rule are leftmost and don't overlap each other; those whose group is too short
-    are dropped after matching. A null text is empty and has no spans; each row gives one row, equal
-    ids and nulls included. Columns of ``docs`` keep their names (but for one called ``found``).
-    """
+def _scanned(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(row, text, found): each row of ``docs`` as a struct, so that no column name can clash."""
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
-    asked = candidates(docs, [r for r in rules if r.kind in indexed]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("kinds", "_kinds")
-    text = whole_text()
-    met = docs.join(asked, docs["doc_id"].eqNullSafe(asked["_doc"]), "left")
-    kind = "array<struct<start:bigint,at:int,end:bigint,kind:string>>"
-    none = F.array().cast(kind)
+    asked = candidates(docs, [r for r in rules if r.kind in indexed]).withColumnRenamed("doc_id", "held")
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, empty = F.col("text"), F.array().cast("array<string>")
+    met = rows.join(asked, rows["doc_id"].eqNullSafe(asked["held"]), "left").select(
+        "row", F.coalesce("kinds", empty).alias("kinds"), F.coalesce(F.col("row.text"), F.lit("")).alias("text")
+    )
+    none = F.array().cast(SPANS)
     for at, r in enumerate(rules):
         pattern = F.lit(r.pattern)
-        chosen = F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), r.kind) if r.kind in indexed else F.lit(True)
+        chosen = F.array_contains("kinds", r.kind) if r.kind in indexed else F.lit(True)
         ask = chosen & F.rlike(text, pattern)
         lengths = lambda group, p=pattern: F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda m: F.char_length(m).cast("bigint"))
-        met = met.withColumn(f"_m{at}", F.when(ask, lengths(0))).withColumn(
-            f"_g{at}", F.when(ask, lengths(r.group)) if r.group else F.col(f"_m{at}")
+        met = met.withColumn(f"m{at}", F.when(ask, lengths(0))).withColumn(
+            f"g{at}", F.when(ask, lengths(r.group)) if r.group else F.col(f"m{at}")
         ).withColumn(
-            f"_p{at}", F.when(ask, F.transform(F.split(text, r.pattern, -1), lambda s: F.char_length(s).cast("bigint")))
+            f"p{at}", F.when(ask, F.transform(F.split(text, r.pattern, -1), lambda s: F.char_length(s).cast("bigint")))
         )
     for at, r in enumerate(rules):
-        matches, groups, pieces = F.col(f"_m{at}"), F.col(f"_g{at}"), F.col(f"_p{at}")
+        matches, groups, pieces = F.col(f"m{at}"), F.col(f"g{at}"), F.col(f"p{at}")
         ends = running_sums(F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda a, b: a + b))
         spans = F.zip_with(
             F.zip_with(ends, matches, lambda e, m: F.struct((e - m).alias("start"), F.lit(at).alias("at"), e.alias("end"), F.lit(r.kind).alias("kind"))),
             groups,
             lambda s, g: F.when(g >= r.least, s),
         )
-        met = met.withColumn(f"_s{at}", F.when(F.size(matches) > 0, F.array_compact(spans)).otherwise(none).cast(kind))
-    found = F.array_sort(F.concat(*[F.col(f"_s{at}") for at in range(len(rules))])).alias("found")
-    return met.select(*[docs[c] for c in docs.columns if c != "found"], found)
+        met = met.withColumn(f"s{at}", F.when(F.size(matches) > 0, F.array_compact(spans)).otherwise(none).cast(SPANS))
+    return met.select("row", "text", F.array_sort(F.concat(*[F.col(f"s{at}") for at in range(len(rules))])).alias("found"))
+
+
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE + FURTHER) -> DataFrame:
+    """All columns of ``docs`` and ``found``: array of (start, at, end, kind), sorted by start, then rule.
+
+    Offsets count code points of the whole text, end exclusive; ``at`` is the rule's place in the
+    list. Matches of a rule are leftmost and don't overlap each other; those whose group is too short
+    are dropped after matching. A null text is empty and has no spans; each row gives one row, equal
+    ids and nulls included; an empty table gives an empty result. A column called ``found`` is replaced.
+    """
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "found"]
+    return _scanned(docs, rules).select(*kept, "found")
 
 
 def listed(spans: Column) -> Column:
@@ -232,23 +240,21 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = BASE + FURTHER, mark: str =
 
     A null text stays null; texts without a span are unchanged.
     """
-    found = find_secrets(docs, rules)
-    text, size = F.col("text"), F.char_length(whole_text()).cast("bigint")
-    # merged spans: (start, end) with end = furthest so far, newest last
+    text, size = F.col("text"), F.char_length("text").cast("bigint")
     kind = "array<struct<start:bigint,end:bigint>>"
+    newest = lambda a: F.try_element_at(a, F.lit(-1))
+    span = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)
     merged = F.aggregate(
         "found",
         F.array().cast(kind),
         lambda a, s: F.when(
-            (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]),
-            F.concat(
-                F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(kind),
+            (F.size(a) > 0) & (newest(a)["end"] > s["start"]),
+            F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), span(newest(a)["start"], F.greatest(newest(a)["end"], s["end"]))),
+        ).otherwise(F.concat(a, span(s["start"], s["end"]))),
     )
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(size))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(size))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int")))
-    clean = F.when(F.size("found") == 0, text).otherwise(F.array_join(pieces, mark))
-    return found.withColumn("_spans", merged).select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("found") == 0, F.col("row.text")).otherwise(F.array_join(pieces, mark))
+    marked = _scanned(docs, rules).withColumn("spans", merged)
+    return marked.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
