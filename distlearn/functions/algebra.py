@@ -18,19 +18,32 @@ from .vectors import (
     to_matrix,
 )
 
+TILE_ROWS = 256
 JVM_PRODUCT_LIMIT = 512  # above this many multiplications per row, numpy over Arrow is faster
 
 
 def matrix_column(apply, x: Column) -> Column:
-    """``apply(rows x d matrix) -> rows x m matrix`` as an Arrow-batched column."""
+    """``apply(rows x d matrix) -> rows x m matrix`` as an Arrow-batched column.
+
+    Rows go through in tiles of one size, the last one padded, so that the rounding of a product
+    doesn't depend on how rows fall into batches.
+    """
 
     @arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        return to_lists(np.asarray(apply(to_matrix(batch)), dtype=np.float64))
+        x = to_matrix(batch)
+        tiles = [_tile(apply, x[i : i + TILE_ROWS]) for i in range(0, max(1, len(x)), TILE_ROWS)]
+        return to_lists(np.concatenate(tiles))
 
     return run(x)
 
 
+def _tile(apply, x: np.ndarray) -> np.ndarray:
+    full = np.zeros((TILE_ROWS, x.shape[1]))
+    full[: len(x)] = x
+    return np.asarray(apply(full), dtype=np.float64)[: len(x)]
+
+
 def affine(df: DataFrame, spec: FeatureSpec, weights, offset=None, invalid: str = "error") -> Column:
     """``x @ weights.T + offset`` as ARRAY<DOUBLE>; weights has one row per output."""
     weights = np.atleast_2d(np.asarray(weights, dtype=np.float64))

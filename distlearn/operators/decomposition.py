@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from ..base import Fitted, Learner
 from ..functions.algebra import affine
 from ..functions.vectors import to_matrix, width
-from ..plans.gram import centred_gram, gram
+from ..plans.gram import MAX_GRAM_WIDTH, centred_gram, column_moments, gram, leading_subspace
 
 
 def fix_signs(rows: np.ndarray) -> np.ndarray:
@@ -52,9 +52,15 @@ class PCA(Learner):
     def _train(self, df: DataFrame) -> Fitted:
         d = width(df, self.setting("features_col"))
         k = _checked(self.setting("n_components"), d)
-        n, mean, scatter = centred_gram(df, self._x(df), d)
-        values, vectors = leading(scatter, k)
-        total = np.trace(scatter)
+        if d <= MAX_GRAM_WIDTH:
+            n, mean, scatter = centred_gram(df, self._x(df), d)
+            values, vectors = leading(scatter, k)
+            total = np.trace(scatter)
+        else:
+            stats = column_moments(df, self.setting("features_col"), "mean", "std")
+            n, mean, total = stats["count"], stats["mean"], stats["count"] * (stats["std"] ** 2).sum()
+            values, vectors = leading_subspace(df, self._x(df), d, k, mean)
+            vectors = fix_signs(vectors)
         return PCAModel(
             {
                 "components": vectors,
@@ -79,7 +85,11 @@ class TruncatedSVD(Learner):
     def _train(self, df: DataFrame) -> Fitted:
         d = width(df, self.setting("features_col"))
         k = _checked(self.setting("n_components"), d)
-        values, vectors = leading(gram(df, [self._x(df)], lambda b: to_matrix(b, d), d), k)
+        if d <= MAX_GRAM_WIDTH:
+            values, vectors = leading(gram(df, [self._x(df)], lambda b: to_matrix(b, d), d), k)
+        else:
+            values, vectors = leading_subspace(df, self._x(df), d, k, np.zeros(d))
+            vectors = fix_signs(vectors)
         return TruncatedSVDModel(
             {"components": vectors, "mean": np.zeros(d), "singular_values": np.sqrt(values)}
         )

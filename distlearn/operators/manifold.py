@@ -104,7 +104,7 @@ class _MapLearner(Learner):
             handle_invalid=self.setting("handle_invalid"), cell_rows=self.setting("cell_rows"),
         )
         model = finder.fit(df)
-        n = int(model.state["rows"].sum())
+        n = model.state["total"]
         return model, model.kneighbors(df, min(k + 1, n)), n
 
     def _start(self, df: DataFrame, spread: float) -> DataFrame:
@@ -209,7 +209,7 @@ class UMAPModel(_MapModel):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         df = self._input(df)
-        finder = NeighborsModel({k: self.state[k] for k in ("pivots", "radius", "rows", "weight", "copies")}, self.tables)
+        finder = NeighborsModel({k: self.state[k] for k in ("pivots", "radius", "rows", "weight", "copies", "total")}, self.tables)
         finder = self._give(finder)
         k = min(self.setting("n_neighbors"), int(self.state["rows"].sum()))
         edges = settle(neighbour_weights(finder.kneighbors(df, k), k, umap_weights, False), "reach")

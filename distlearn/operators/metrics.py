@@ -25,9 +25,11 @@ def regression_report(df: DataFrame, label: str = LABEL, prediction: str = PREDI
     """One row: mse, rmse, mae, r2, corr."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     mse = F.avg((y - p) * (y - p))
+    spread = F.var_pop(y)
+    r2 = F.when(spread == 0, F.when(mse == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) - F.try_divide(mse, spread))
     return df.agg(
         mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(y - p)).alias("mae"),
-        (F.lit(1.0) - mse / F.var_pop(y)).alias("r2"), F.corr(y, p).alias("corr"),
+        r2.alias("r2"), F.corr(y, p).alias("corr"),
     )
 
 

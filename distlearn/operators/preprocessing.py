@@ -10,9 +10,7 @@ from ..base import Fitted, Learner
 from ..functions.vectors import constant_array, feature_array, is_scalar, scalar_columns
 from ..plans.gram import column_moments
 from ..plans.order import dense_index
-from ..plans.skew import hot_join
 
-BROADCAST_CLASSES = 100_000
 
 
 def rescale(df: DataFrame, spec, scale, offset, invalid: str = "error") -> Column:
@@ -106,12 +104,12 @@ class LabelEncoderModel(Fitted):
         classes = self.tables["classes"].select(
             F.col("label" if found == "code" else "code").alias("_key"), F.col(found).alias("_found"), "n"
         )
+        # one row per class: Spark broadcasts them by their size, or splits the hot keys of the data at hand
         left = df.withColumn("_key", F.col(key))
-        if self.state["n_classes"] <= BROADCAST_CLASSES:
-            joined = left.join(F.broadcast(classes.drop("n")), "_key", "left")
-        else:
-            joined = hot_join(left, classes, "_key", "n", F.xxhash64(*df.columns), "left")
-        unseen = F.raise_error(F.concat(F.lit("value was not seen in fit: "), F.col("_key").cast("string")))
+        if self.setting("handle_invalid") == "skip":
+            left = left.where(F.col("_key").isNotNull())
+        joined = left.join(classes.drop("n"), "_key", "left")
+        unseen = F.raise_error(F.concat(F.lit("value was not seen in fit: "), F.coalesce(F.col("_key").cast("string"), F.lit("null; handle_invalid='skip' drops such rows"))))
         value = F.when(F.col("_found").isNull(), unseen).otherwise(F.col("_found"))
         return joined.withColumn(out, value).select(*[c for c in df.columns if c != out], out)
 

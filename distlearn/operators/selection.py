@@ -77,12 +77,16 @@ class GridSearch:
     def fit(self, df: DataFrame):
         names = sorted(self.grid)
         self.results_ = []
-        for values in itertools.product(*[self.grid[n] for n in names]):
-            params = dict(zip(names, values))
-            scores = cross_val_score(self._with(params), df, **self.options)
-            self.results_.append((params, float(np.mean(scores)), float(np.std(scores))))
-        self.best_params_ = max(self.results_, key=lambda r: r[1])[0]
-        self.best_model_ = self._with(self.best_params_).fit(df)
+        df = df.persist()  # read once for all settings and folds
+        try:
+            for values in itertools.product(*[self.grid[n] for n in names]):
+                params = dict(zip(names, values))
+                scores = cross_val_score(self._with(params), df, **self.options)
+                self.results_.append((params, float(np.mean(scores)), float(np.std(scores))))
+            self.best_params_ = max(self.results_, key=lambda r: r[1])[0]
+            self.best_model_ = self._with(self.best_params_).fit(df)
+        finally:
+            df.unpersist()
         return self
 
     def _with(self, params: dict) -> Learner:

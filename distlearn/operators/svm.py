@@ -81,7 +81,7 @@ class _KernelLearner(Learner):
         elif s["gamma"] == "auto":
             s["gamma"] = 1.0 / d
         landmarks = draw_rows(
-            df.select(self._x(df).alias("x")), self.setting("n_landmarks"), df.count(), int(self.setting("random_state"))
+            df.select(self._x(df).alias("x")), self.setting("n_landmarks"), df.count(), int(self.setting("random_state")), exact=True
         )
         values, vectors = np.linalg.eigh(kernel_block(s, landmarks, landmarks))
         keep = values > values.max() * 1e-10
@@ -176,6 +176,8 @@ class SVRModel(_KernelModel):
 class SVR(_KernelLearner):
     """``|w|^2/2 + C * sum(max(0, |y - f(x)| - epsilon)^2)`` by active-set Newton (Chapelle 2007).
 
+    ``n_landmarks`` bounds the basis of the function, not the rows: all rows enter the loss.
+
     Each round is one weighted Gram aggregate over the rows outside the epsilon tube.
     """
 

@@ -11,6 +11,7 @@ from ..base import Fitted, Learner
 from ..plans.lineage import settle
 from ..plans.skew import hot_join
 
+ALL_WORDS = (1 << 31) - 1  # Spark's largest vocabulary
 TOKEN = r"[\p{L}\p{N}_]{2,}"  # words of two or more letters, digits or underscores
 
 
@@ -21,11 +22,10 @@ def tokens(text: Column, lowercase: bool = True, pattern: str = TOKEN) -> Column
 def token_counts(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """(id, token, n).
 
-    The texts are shuffled by id once; a text is shorter than its counts, and the grouping
-    by (id, token) then needs no further exchange.
+    Words are counted where they are read; only counts are shuffled, by (id, token), so an id that
+    many rows share is no hot key.
     """
-    texts = df.select(id_col, text_col).repartition(id_col)
-    words = texts.select(id_col, F.explode(tokens(F.col(text_col), **options)).alias("token"))
+    words = df.select(id_col, F.explode(tokens(F.col(text_col), **options)).alias("token"))
     return words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -90,16 +90,20 @@ class TextModel(Fitted):
 
 
 class CountVectorizer(_TextLearner):
-    """Count vectors over the most frequent ``max_features`` words (the vocabulary is kept on the driver)."""
+    """Count vectors over all words, or the most frequent ``max_features`` if that is set.
 
-    HYPER = {"max_features": 1 << 18, "min_df": 1.0}
+    The vocabulary is part of the model and kept on the driver; for one too large for that, use
+    ``tf_idf`` (a long table) or HashingVectorizer.
+    """
+
+    HYPER = {"max_features": None, "min_df": 1.0}
 
     def _train(self, df: DataFrame) -> Fitted:
         return TextModel({}, {}, {"counts": self._count(_words(df, self))})
 
     def _count(self, words: DataFrame):
         solver = SparkCounts(
-            vocabSize=self.setting("max_features"), minDF=self.setting("min_df"), inputCol="_words", outputCol="_counts"
+            vocabSize=self.setting("max_features") or ALL_WORDS, minDF=self.setting("min_df"), inputCol="_words", outputCol="_counts"
         )
         return solver.fit(words)
 

@@ -74,12 +74,19 @@ def pivot_count(rows: int, cell_rows: int) -> int:
     return max(1, min(MAX_PIVOTS, -(-rows // cell_rows)))
 
 
-def draw_rows(points: DataFrame, count: int, rows: int, seed: int = 0) -> np.ndarray:
+def draw_rows(points: DataFrame, count: int, rows: int, seed: int = 0, exact: bool = False) -> np.ndarray:
     """Up to ``count`` distinct rows of column x, chosen by hash, so copies are drawn once.
 
     A hash filter keeps about 16 times the wanted number before the grouping, so a large
-    table is read but not shuffled. If copies leave too few, all rows are grouped.
+    table is read but not shuffled. If copies leave too few, all rows are grouped. More than
+    DRAWN_VALUES numbers never reach the driver: with ``exact`` that is an error, else fewer rows
+    are drawn (pivots may be fewer, results stay the same).
     """
+    d = max(1, (points.select(F.size("x")).head() or [1])[0])
+    if count * d > DRAWN_VALUES:
+        if exact:
+            raise ValueError(f"{count} rows of {d} features are more than {DRAWN_VALUES} numbers; ask for fewer")
+        count = max(1, DRAWN_VALUES // d)
     drawn = points.select("x", F.xxhash64("x", F.lit(seed)).alias("h"))
     share = 16.0 * count / max(rows, 1)
     thin = drawn.where(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))) if share < 0.5 else drawn
@@ -87,8 +94,7 @@ def draw_rows(points: DataFrame, count: int, rows: int, seed: int = 0) -> np.nda
         picked = source.groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(count).collect()
         if 2 * len(picked) > count or source is drawn:
             break
-    out = np.array([r["x"] for r in picked], dtype=np.float64)
-    return out[: max(1, DRAWN_VALUES // max(out.shape[-1], 1))]
+    return np.array([r["x"] for r in picked], dtype=np.float64)
 
 
 def heaviest_copy(rows: DataFrame) -> int:

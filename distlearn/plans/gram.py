@@ -55,9 +55,6 @@ def cross_sums(df: DataFrame, columns: list[Column], build: Callable, size: int)
 
     Each task keeps one matrix with ``size`` rows; equal matrix rows meet in a grouped sum.
     """
-    if size > MAX_GRAM_WIDTH + 2:
-        raise ValueError(f"width {size} is above {MAX_GRAM_WIDTH}; use an iterative solver")
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -79,6 +76,8 @@ def cross_sums(df: DataFrame, columns: list[Column], build: Callable, size: int)
 
 def gram(df: DataFrame, columns: list[Column], build: Callable, size: int) -> np.ndarray:
     """Sum over all rows of ``z zᵀ``."""
+    if size > MAX_GRAM_WIDTH + 2:
+        raise ValueError(f"width {size} is above {MAX_GRAM_WIDTH}; use an iterative solver")
 
     def both(*batch):
         z = build(*batch)
@@ -116,3 +115,27 @@ def centred_gram(df: DataFrame, x: Column, d: int) -> tuple[int, np.ndarray, np.
     g = gram(df, [x], build, d + 1)
     n, total = g[0, 0], g[0, 1:]
     return int(round(n)), shift + total / n, g[1:, 1:] - np.outer(total, total) / n
+
+
+def leading_subspace(df: DataFrame, x: Column, d: int, k: int, mean: np.ndarray, rounds: int = 60, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of the scatter around ``mean`` and their vectors as rows, for any width.
+
+    Subspace iteration: each round adds one d x r matrix over all rows (r = 2 k + 10), so no d x d
+    matrix is ever made.
+    """
+    r = min(d, 2 * k + 10)
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((d, r)))[0]
+    before = None
+    for _ in range(rounds):
+
+        def build(batch, basis=basis):
+            m = to_matrix(batch, d) - mean
+            return m, m @ basis
+
+        image = cross_sums(df, [x], build, d)
+        values, turn = np.linalg.eigh(basis.T @ image)
+        now, vectors = values[::-1][:k], (basis @ turn[:, ::-1])[:, :k]
+        if before is not None and np.abs(now - before).max() <= tol * max(now[0], 1e-300):
+            break
+        before, basis = now, np.linalg.qr(image)[0]
+    return np.maximum(now, 0.0), vectors.T

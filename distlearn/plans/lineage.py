@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="distlearn-")
-        spark.sparkContext.setCheckpointDir(named)
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
     return named.rstrip("/")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000  # rows of one key that a single task should handle
-MAX_HOT_KEYS = 1_000  # a key is hot only above 1/1000 of the rows, so at most this many
+LISTED_KEYS = 100_000  # so many hot keys may be broadcast; more are joined
 
 
 def hot_join(
@@ -21,21 +21,21 @@ def hot_join(
 ) -> DataFrame:
     """Join where ``right`` has one row per key and ``weight`` = number of left rows with it.
 
-    Keys above ``max(hot_rows, total / 1000)`` rows are salted: the left rows by ``spread``
-    (a hash of the row id), the single right row copied once per salt. The list of hot keys
-    has at most 1000 entries and is the only thing broadcast. ``total`` = sum of the weights,
-    if the caller knows it.
+    Keys above ``hot_rows`` rows, however large the table, are salted: the left rows by ``spread``
+    (a hash of the row id), the single right row copied once per salt. There are at most
+    total / hot_rows hot keys; their list is counted, broadcast up to LISTED_KEYS and joined
+    beyond. ``total`` = sum of the weights, if the caller knows it.
     """
     if total is None:
         total = right.agg(F.sum(weight)).head()[0] or 0
-    limit = max(hot_rows, total // MAX_HOT_KEYS)
-    if total <= limit:
+    if total <= hot_rows:
         return left.join(right.drop(weight), on, how)
-    pieces = F.ceil(F.col(weight) / F.lit(limit)).cast("int")
-    hot = right.where(F.col(weight) > limit).select(on, pieces.alias("_salts"))
-    salted = left.join(F.broadcast(hot), on, "left").withColumn(
+    pieces = F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int")
+    hot = right.where(F.col(weight) > hot_rows).select(on, pieces.alias("_salts"))
+    listed = total // hot_rows <= LISTED_KEYS or hot.count() <= LISTED_KEYS
+    salted = left.join(F.broadcast(hot) if listed else hot, on, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("_salts")).cast("int"))
     )
-    last = F.when(F.col(weight) > limit, pieces - 1).otherwise(F.lit(0))
+    last = F.when(F.col(weight) > hot_rows, pieces - 1).otherwise(F.lit(0))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop(weight)
     return salted.join(copies, [on, "_salt"], how).drop("_salt", "_salts")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def over_all_cores(df: DataFrame) -> DataFrame:
-    """Spread rows that come from fewer files than there are cores.
+    """Spread rows that come in fewer partitions than there are cores.
 
     A fit that passes over its rows many times would otherwise keep most cores idle. Large
-    inputs have more files than that and are left as they are.
+    inputs have more partitions than that and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # counted on the JVM side; the names are not fetched
-    return df.repartition(cores) if 0 < files < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -15,7 +15,7 @@ from ..operators.solvers import gradient_sums, sgd_step
 class OnlineRegression:
     """Linear regression trained by ``foreachBatch``.
 
-    The weights after batch b are written under ``folder/batch=b``. A replayed batch starts
+    The weights after batch b are written under ``folder/batch=b``, and batch b + 1 reads only that. A replayed batch starts
     from the weights of the batch before it and overwrites its own, so replays change nothing.
     """
 
@@ -23,28 +23,30 @@ class OnlineRegression:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.features, self.label, self.rate, self.alpha = features, label, rate, alpha
 
-    def _weights(self, before: int | None = None) -> np.ndarray | None:
+    def _weights(self, batch: int | None = None) -> np.ndarray | None:
+        """Weights after a batch; without one, after the last."""
         try:
-            table = self.spark.read.parquet(self.folder)
+            if batch is not None:
+                table = self.spark.read.parquet(f"{self.folder}/batch={batch}")
+            else:
+                table = self.spark.read.parquet(self.folder).orderBy(F.desc("batch"))
         except AnalysisException:
             return None
-        if before is not None:
-            table = table.where(F.col("batch") < before)
-        row = table.orderBy(F.desc("batch")).select("weights").head()
-        return None if row is None else np.array(row["weights"])
+        row = table.select("weights").head()
+        return np.array(row["weights"]) if row and row["weights"] else None
 
     def step(self, rows: DataFrame, batch: int) -> None:
         part = rows.select(
             feature_array(rows, self.features).alias("x"), F.col(self.label).cast("double").alias("y")
         )
         first = part.select(F.size("x")).head()
-        if first is None:
-            return
-        weights = self._weights(before=batch)
-        weights = np.zeros(first[0] + 1) if weights is None else weights
-        sums = gradient_sums(part, weights, "squared_loss")
-        weights = sgd_step(weights, sums, self.rate, "l2", self.alpha, 0.0)
-        out = self.spark.createDataFrame([(weights.tolist(), int(sums[-1]))], "weights array<double>, n_rows long")
+        weights, count = self._weights(batch - 1) if batch else None, 0
+        if first is not None:
+            weights = np.zeros(first[0] + 1) if weights is None else weights
+            sums = gradient_sums(part, weights, "squared_loss")
+            weights, count = sgd_step(weights, sums, self.rate, "l2", self.alpha, 0.0), int(sums[-1])
+        known = [] if weights is None else weights.tolist()  # an empty batch hands the weights on
+        out = self.spark.createDataFrame([(known, count)], "weights array<double>, n_rows long")
         out.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
 
     def train(self, stream: DataFrame, progress: str) -> None:

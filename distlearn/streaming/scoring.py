@@ -13,9 +13,9 @@ from pyspark.sql.functions import arrow_udf
 from ..functions.vectors import to_lists, to_matrix
 from ..operators.clustering import KMeansModel, centre_distances
 from ..operators.decomposition import _ProjectionModel
-from ..operators.linear import LinearModel
+from ..operators.linear import LinearModel, ScoredClasses
 from ..operators.preprocessing import _ScalerModel
-from ..operators.svm import SVRModel, kernel_map
+from ..operators.svm import SVCModel, SVRModel, kernel_map
 
 
 def score_stream(model: Model, stream: DataFrame, path: str, progress: str, columns: list[str] | None = None):
@@ -39,7 +39,8 @@ def register(spark: SparkSession, model, name: str) -> None:
     """Make ``name(features ARRAY<DOUBLE>)`` callable from SQL.
 
     A linear model becomes a SQL function, which Catalyst inlines as a plain expression; the
-    others become Arrow-batched functions.
+    others become Arrow-batched functions. Linear and kernel classifiers with numeric classes give
+    the class as a double.
     """
     if not name.isidentifier():
         raise ValueError(f"not a function name: {name!r}")
@@ -77,6 +78,22 @@ def _block_function(model) -> tuple[Callable, bool]:
     if isinstance(model, KMeansModel):
         centres = model.state["centres"]
         return lambda x: centre_distances(x, centres).argmin(axis=1), True
+    if isinstance(model, ScoredClasses):
+        coef, shift, classes = np.atleast_2d(model.state["coef"]), model.state["intercept"], np.array(model.state["classes"], dtype=np.float64)
+
+        def label(x):
+            values = x @ coef.T + shift
+            return classes[(values[:, 0] > 0).astype(int) if len(coef) == 1 else values.argmax(axis=1)]
+
+        return label, True
+    if isinstance(model, SVCModel):
+        lift, coef, shift, classes = kernel_map(model.state), model.state["coef"], model.state["intercept"], np.array(model.state["classes"], dtype=np.float64)
+
+        def label(x):
+            values = lift(x) @ coef.T + shift
+            return classes[(values[:, 0] > 0).astype(int) if len(coef) == 1 else values.argmax(axis=1)]
+
+        return label, True
     if isinstance(model, SVRModel):
         lift, coef, shift = kernel_map(model.state), model.state["coef"][0], model.state["intercept"][0]
         return lambda x: lift(x) @ coef + shift, True
