@@ -373,6 +373,14 @@ def sgd_classifier(spark, folder):
     return MBSGDClassifier(label_col="high", **SGD_SETTINGS).fit(rows).predict(rows).select("p_partkey", "prediction")
 
 
+@query("sql_score_classes", ORACLES["sgd_classifier"])
+def sql_score_classes(spark, folder):
+    """The same classifier, called from SQL."""
+    rows = _flagged(_scaled_part(spark, folder, *TWO))
+    register(spark, MBSGDClassifier(label_col="high", **SGD_SETTINGS).fit(rows), "is_high")
+    return rows.selectExpr("p_partkey", "cast(is_high(scaled) AS int) AS prediction")
+
+
 @query("sgd_classifier_minibatch")
 def sgd_classifier_minibatch(spark, folder):
     rows = _flagged(_scaled_part(spark, folder, *TWO))
@@ -389,14 +397,14 @@ def sgd_classifier_minibatch(spark, folder):
 @query("svc")
 def svc(spark, folder):
     rows = _flagged(_scaled_part(spark, folder, *TWO))
-    model = SVC(kernel="rbf", C=10.0, features_col="scaled", label_col="high", n_landmarks=64).fit(rows)
+    model = SVC(kernel="rbf", C=10.0, features_col="scaled", label_col="high").fit(rows)
     return model.predict(rows).select("p_partkey", "high", "prediction")
 
 
 @query("svr")
 def svr(spark, folder):
     rows = _scaled_part(spark, folder, *TWO)
-    model = SVR(kernel="rbf", C=10.0, features_col="scaled", label_col="p_retailprice", n_landmarks=64).fit(rows)
+    model = SVR(kernel="rbf", C=10.0, features_col="scaled", label_col="p_retailprice").fit(rows)
     return model.predict(rows).select("p_partkey", "p_retailprice", "prediction")
 
 
@@ -426,17 +434,44 @@ def svr_linear(spark, folder):
 @query("random_forest_classifier")
 def random_forest_classifier(spark, folder):
     rows = _flagged(table(spark, folder, "part"))
-    model = RandomForestClassifier(n_estimators=20, max_depth=8, features_col=TWO, label_col="high").fit(rows)
+    model = RandomForestClassifier(features_col=TWO, label_col="high").fit(rows)
     return model.predict(rows).select("p_partkey", "high", "prediction")
 
 
 @query("random_forest_regressor")
 def random_forest_regressor(spark, folder):
     rows = table(spark, folder, "part")
-    model = RandomForestRegressor(n_estimators=20, max_depth=8, features_col=TWO, label_col="p_retailprice").fit(rows)
+    model = RandomForestRegressor(features_col=TWO, label_col="p_retailprice").fit(rows)
     return model.predict(rows).select("p_partkey", "p_retailprice", "prediction")
 
 
+def sql_stump(source: str, y: str) -> str:
+    """Means of ``y`` on both sides of the best split on p_size: the largest sum of squared sums over counts."""
+    return f"""WITH p AS ({source}), v AS (SELECT p_size AS s, count(*) AS n, sum({y}) AS y FROM p GROUP BY 1),
+    c AS (SELECT s, sum(n) OVER (ORDER BY s) AS ln, sum(y) OVER (ORDER BY s) AS ly, sum(n) OVER () AS tn, sum(y) OVER () AS ty FROM v),
+    best AS (SELECT s, ly / ln AS low, (ty - ly) / (tn - ln) AS high_mean FROM c WHERE ln < tn
+      ORDER BY ly * ly / ln + (ty - ly) * (ty - ly) / (tn - ln) DESC, s LIMIT 1)
+    SELECT p_partkey, round(CASE WHEN p_size <= s THEN low ELSE high_mean END, 6) + 0.0 AS prediction FROM p, best"""
+
+
+STUMP = {"n_estimators": 1, "bootstrap": False, "max_depth": 1, "max_features": "all", "features_col": ["p_size"]}
+FLAGGED = "SELECT *, CASE WHEN p_retailprice > avg(p_retailprice) OVER () THEN 1 ELSE 0 END AS high FROM part"
+
+
+@query("forest_stump_regressor", sql_stump("SELECT * FROM part", "p_retailprice"))
+def forest_stump_regressor(spark, folder):
+    rows = table(spark, folder, "part")
+    model = RandomForestRegressor(label_col="p_retailprice", **STUMP).fit(rows)
+    return model.predict(rows).select("p_partkey", rounded("prediction", 6, "prediction"))
+
+
+@query("forest_stump_probability", sql_stump(FLAGGED, "high::DOUBLE"))
+def forest_stump_probability(spark, folder):
+    rows = _flagged(table(spark, folder, "part"))
+    model = RandomForestClassifier(label_col="high", **STUMP).fit(rows)
+    return model.predict_proba(rows).select("p_partkey", rounded(F.col("probability")[1], 6, "prediction"))
+
+
 # ---------------------------------------------------------------- decomposition and projection
 
 
@@ -556,7 +591,7 @@ def _near_out(found: DataFrame) -> DataFrame:
 @query("kneighbors", NEAR_EMBEDDINGS + NEAR_OUT)
 def kneighbors(spark, folder):
     rows = table(spark, folder, "embeddings")
-    model = NearestNeighbors(n_neighbors=5, features_col="embedding", id_col="vec_id").fit(rows)
+    model = NearestNeighbors(n_neighbors=5, features_col="embedding", id_col="vec_id", cell_rows=100).fit(rows)
     return _near_out(model.kneighbors(rows))
 
 
@@ -582,10 +617,26 @@ def kneighbors_pruned(spark, folder):
 )
 def knn_classifier(spark, folder):
     rows = table(spark, folder, "embeddings")
-    model = KNeighborsClassifier(n_neighbors=5, features_col="embedding", id_col="vec_id").fit(rows)
+    model = KNeighborsClassifier(n_neighbors=5, features_col="embedding", id_col="vec_id", cell_rows=100).fit(rows)
     return model.predict(rows).select("vec_id", "prediction")
 
 
+@query(
+    "knn_probability",
+    NEAR_EMBEDDINGS + """, ends AS (SELECT min(label) AS first, max(label) AS last FROM embeddings),
+    votes AS (SELECT query_id, label, count(*) AS n FROM near JOIN embeddings ON neighbor_id = vec_id GROUP BY ALL)
+    SELECT query_id AS vec_id, sum(CASE WHEN label = first THEN n ELSE 0 END) / 5.0 AS p_first,
+    sum(CASE WHEN label = last THEN n ELSE 0 END) / 5.0 AS p_last, max(n) / 5.0 AS p_most FROM votes, ends GROUP BY query_id""",
+)
+def knn_probability(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    model = KNeighborsClassifier(
+        n_neighbors=5, features_col="embedding", id_col="vec_id", cell_rows=100, output_col="p"
+    ).fit(rows)
+    p = F.col("p")
+    return model.predict_proba(rows).select("vec_id", p[0].alias("p_first"), F.element_at(p, -1).alias("p_last"), F.array_max(p).alias("p_most"))
+
+
 @query(
     "knn_regressor",
     sql_nearest("SELECT p_partkey AS qid, p_size AS a, p_partkey AS b FROM part",
@@ -595,7 +646,7 @@ def knn_classifier(spark, folder):
 )
 def knn_regressor(spark, folder):
     rows = table(spark, folder, "part")
-    model = KNeighborsRegressor(n_neighbors=5, features_col=TWO, id_col="p_partkey", label_col="p_retailprice").fit(rows)
+    model = KNeighborsRegressor(n_neighbors=5, features_col=TWO, id_col="p_partkey", label_col="p_retailprice", cell_rows=400).fit(rows)
     return model.predict(rows).select("p_partkey", rounded("prediction", 6, "prediction"))
 
 
@@ -631,7 +682,7 @@ def kmeans_lloyd(spark, folder):
 def kmeans(spark, folder):
     rows = table(spark, folder, "lineitem")
     scaled = StandardScaler(features_col=["l_quantity", "l_extendedprice", "l_discount"]).fit_transform(rows)
-    model = KMeans(n_clusters=8, random_state=0, features_col="scaled", max_iter=20).fit(scaled)
+    model = KMeans(n_clusters=8, random_state=0, features_col="scaled").fit(scaled)
     return metrics.cluster_summary(model.predict(scaled))
 
 
@@ -654,7 +705,7 @@ def sql_density(points: str, near: str, need: int) -> str:
 @query("dbscan", sql_density("SELECT c_custkey AS id, c_acctbal AS x FROM customer", "abs(a.x - b.x) <= 10.005", 5))
 def dbscan(spark, folder):
     rows = table(spark, folder, "customer").withColumnRenamed("c_custkey", "id")
-    return DBSCAN(eps=10.005, min_samples=5, features_col=["c_acctbal"]).fit_predict(rows).select("id", "prediction")
+    return DBSCAN(eps=10.005, min_samples=5, features_col=["c_acctbal"], cell_rows=300).fit_predict(rows).select("id", "prediction")
 
 
 @query(
@@ -674,7 +725,7 @@ def dbscan_plane(spark, folder):
 )
 def dbscan_embeddings(spark, folder):
     rows = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "id")
-    return DBSCAN(eps=1.15, min_samples=3, features_col="embedding").fit_predict(rows).select("id", "prediction")
+    return DBSCAN(eps=1.15, min_samples=3, features_col="embedding", cell_rows=100).fit_predict(rows).select("id", "prediction")
 
 
 @query("tsne")
