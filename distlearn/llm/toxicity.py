@@ -6,7 +6,7 @@ subsequences of three letters within a window, each gap shrinking their weight,
 strongly to toxicity. A sentence is described by its largest kernel value with each landmark,
 whitened by the kernel matrix of the landmarks (Nystroem); a linear machine with squared hinge loss
 is trained on the labelled sentences and, with the same weight, on landmarks with a letter put in, and a document scores as its worst sentence, put on the scale of
-a probability by a logistic curve over the labelled documents.
+a probability by a logistic curve over the same documents and disguised landmarks.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import discard
 from .common import settle, whole_text
 
 SAMPLE_DOCS = 20_000  # about so many labelled documents, drawn by a hash of the id, train the model
@@ -33,6 +34,7 @@ DECAY = 0.85  # per letter in a gap
 POWERS = (1, 8)  # the machine adds the kernel and a power of it: likeness, and near identity
 FLOOR = 0.45  # smaller kernel values count as zero
 THRESHOLD = 0.3
+DISGUISED = 0.05  # weight of disguised landmarks in the curve, against that of the toxic documents found
 
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")  # letters set apart: i d i o t
@@ -196,7 +198,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: in
     parts = max(1, -(-known.count() // size))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     met = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(drawn), "doc_id")
-    return settle(met.groupBy(F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_hash"), "labelled")
+    texts = met.groupBy(F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_hash")
+    out = settle(texts, "labelled")
+    discard(known)
+    return out
 
 
 def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
@@ -250,15 +255,16 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0)
     return w
 
 
-def logistic_curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic_curve(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and shift of the curve through labels, targets drawn in as Platt has it."""
-    positive = y.sum()
-    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+    positive, negative = weight[y > 0].sum(), weight[y == 0].sum()
+    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
     x = np.stack([value, np.ones(len(value))], axis=1)
     w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * w)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(bend, x.T @ (weight * (p - target)) + 1e-3 * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -289,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE
                 )
 
     rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, others long, near binary").collect()
+    discard(sample)
     y = np.array([1 if r["toxic"] else 0 for r in rows], float)
     if not landmarks or not 0 < y.sum() < len(y):
         rate = (y.sum() + 1) / (len(y) + 2)
@@ -314,7 +321,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE
     w = machine(x, sign, weight)
     alpha, bias = whiten @ w[:-1], float(w[-1])
     worst = np.array([max([bias, *(bias + powers(n) @ alpha)]) for n in near])
-    slope, shift = logistic_curve(worst, y)
+    known = np.array([len(n) > 0 for n in near]) & (y > 0)  # toxic documents with a suspicious sentence
+    slope, shift = logistic_curve(
+        np.concatenate([worst, bias + powers(altered) @ alpha]),
+        np.concatenate([y, np.ones(len(at))]),
+        np.concatenate([np.ones(len(y)), np.full(len(at), DISGUISED * known.sum() / max(1, len(at)))]),
+    )
     return Toxicity(landmarks, alpha.tolist(), bias, slope, shift)
 
 
