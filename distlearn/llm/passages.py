@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import discard
 from .common import settle, whole_text
 
 WINDOW = 50
@@ -160,7 +161,8 @@ def stretches(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Da
     chosen = settle(chosen_phrases(named, window, phrase), "phrases")
     recurring = chosen.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
     lists = chosen.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))  # no longer than the text
-    met = named.select("doc_id", whole_text().alias("text")).join(settle(lists, "recurring"), "doc_id")
+    lists = settle(lists, "recurring")
+    met = named.select("doc_id", whole_text().alias("text")).join(lists, "doc_id")
     met = met.select("doc_id", F.xxhash64("text").alias("copy"), "text", "phrases")
 
     def block_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,7 +189,9 @@ def stretches(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Da
             yield block_rows(held)
 
     fields = "doc_id long, copy long, phrase long, stretch long, first int, n int, windows binary"
-    return settle(met.mapInArrow(run, fields), "stretches")
+    out = settle(met.mapInArrow(run, fields), "stretches")
+    discard(chosen, lists)
+    return out
 
 
 def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -220,7 +224,9 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     shared = single.groupBy("phrase", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     apart = single.join(shared, ["phrase", "print"]).where("least < doc_id").select("doc_id", "copy", "start", (F.col("start") + window).alias("end"))
     spans = F.collect_list(F.struct("start", "end")).alias("spans")  # no more than the text has words
-    return settle(whole.unionByName(apart).groupBy("doc_id", "copy").agg(spans), "covered")
+    out = settle(whole.unionByName(apart).groupBy("doc_id", "copy").agg(spans), "covered")
+    discard(found, kinds, single)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from ..plans.lineage import discard
 from .common import each_key, paired_pieces, settle
 
 WORDS = 3  # words of a shingle
@@ -125,7 +126,9 @@ def links(classes: DataFrame, bucket: int = BUCKET, near: int = NEAR) -> DataFra
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    out = settle(dealt.mapInArrow(run, "u long, v long"), "links")
+    discard(known, meeting)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
@@ -137,9 +140,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> Da
     """
     marked = settle(fingerprints(docs, words), "fingerprints")
     classes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = connected_components(links(classes, near=near))
+    linked = links(classes, near=near)
+    found = connected_components(linked)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = settle(rooted, "rooted")
+    discard(classes, linked)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")

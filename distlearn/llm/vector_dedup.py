@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import connected_components, contract
+from ..plans.lineage import discard
 from .common import cosines, each_key, matrix, paired_pieces, settle, usable_vector
 from .neighbours import unit
 
@@ -130,6 +131,7 @@ def near_duplicates(vectors: DataFrame, near: float = NEAR, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array(counts[at])], ["a", "b", "links"])
 
     found = settle(dealt.mapInArrow(linked, "a long, b long, links long"), "links")
+    discard(indexed)
     counted = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("links is null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = (
