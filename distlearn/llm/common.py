@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle as write_table
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: no space, tab, line or page break
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # a step's shuffles go when it is written
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # texts are long: small batches to and from Python
+}
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -22,12 +25,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     step's shuffle files at a time instead of all of them.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        conf.set(k, v)
     try:
         return write_table(df, name)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def whole_text(name: str = "text") -> Column:
