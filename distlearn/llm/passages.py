@@ -30,7 +30,8 @@ from .common import settle, whole_text
 
 WINDOW = 50
 PHRASE = 25
-BLOCK_BYTES = 1 << 20  # of text whose phrases go into one automaton
+BLOCK_BYTES = 1 << 18  # of text whose phrases go into one automaton
+ROWS = 512  # handled at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -91,8 +92,8 @@ def chosen_phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 found, counts = [np.zeros(0, np.uint64)], []
                 for text in part.column(1):
                     words = words_of(text.as_py())
@@ -203,13 +204,14 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     found = stretches(docs, window, phrase)
     kinds = found.groupBy("phrase", "stretch", "n").agg(F.min("doc_id").alias("least"))
     kinds = settle(kinds, "kinds")
-    mixed_phrases = kinds.groupBy("phrase").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("phrase")
+    # written out, so that the join has a plain exchange on either side and Spark can split a hot phrase
+    mixed_phrases = settle(kinds.groupBy("phrase").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("phrase"), "mixed")
     judged = found.join(kinds, ["phrase", "stretch", "n"])
     whole = judged.where("least < doc_id").select("doc_id", "copy", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
     firsts = judged.where("least = doc_id").join(mixed_phrases, "phrase").select("doc_id", "copy", "phrase", "first", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             data = [x.as_py() for x in batch.column("windows")]
             counts = np.array([len(x) // 8 for x in data])
             order = np.repeat(np.arange(batch.num_rows), counts)
@@ -225,7 +227,7 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     apart = single.join(shared, ["phrase", "print"]).where("least < doc_id").select("doc_id", "copy", "start", (F.col("start") + window).alias("end"))
     spans = F.collect_list(F.struct("start", "end")).alias("spans")  # no more than the text has words
     out = settle(whole.unionByName(apart).groupBy("doc_id", "copy").agg(spans), "covered")
-    discard(found, kinds, single)
+    discard(found, kinds, mixed_phrases, single)
     return out
 
 
@@ -243,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     met = texts.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_copy")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             totals, gone, kept = [], [], []
             for text, own in zip(batch.column("text"), batch.column("spans")):
                 words = words_of(text.as_py())
