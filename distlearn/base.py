@@ -333,6 +333,11 @@ def label_index(label: str, classes: list) -> Column:
     return (F.array_position(label_array(classes), F.col(label)) - 1).cast("double")
 
 
+def class_metadata(classes: list) -> dict:
+    """Tells Spark's classifiers the number of classes; without it they take 100 at most."""
+    return {"ml_attr": {"type": "nominal", "num_vals": len(classes)}}
+
+
 def label_value(index: Column, classes: list) -> Column:
     return F.element_at(label_array(classes), (index + 1).cast("int"))
 

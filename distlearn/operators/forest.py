@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor as SparkForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..base import Fitted, Learner, class_list, label_index, label_value
+from ..base import Fitted, Learner, class_list, class_metadata, label_index, label_value
 from ..functions.vectors import feature_vector
 from ..plans.spread import over_all_cores
 
@@ -57,7 +57,7 @@ class _Forest(Learner):
     VERBS = _ForestModel.VERBS
     SUPERVISED = True
 
-    def _grow(self, algorithm, df: DataFrame, label, **columns):
+    def _grow(self, algorithm, df: DataFrame, label, metadata: dict | None = None, **columns):
         depth = self.setting("max_depth")
         if not 0 <= depth <= MAX_TREE_DEPTH:
             raise ValueError(f"max_depth={depth} must be between 0 and {MAX_TREE_DEPTH}")
@@ -74,7 +74,7 @@ class _Forest(Learner):
             seed=self.setting("random_state"),
             **columns,
         )
-        return solver.fit(over_all_cores(df.select(x.alias("_forest_x"), label.alias("_forest_y"))))
+        return solver.fit(over_all_cores(df.select(x.alias("_forest_x"), label.alias("_forest_y", metadata=metadata or {}))))
 
 
 class RandomForestClassifier(_Forest):
@@ -84,7 +84,7 @@ class RandomForestClassifier(_Forest):
         classes = class_list(df, self.setting("label_col"))
         forest = self._grow(
             SparkForestClassifier, df, label_index(self.setting("label_col"), classes),
-            predictionCol="_forest_class", probabilityCol="_forest_p", rawPredictionCol="_forest_raw",
+            metadata=class_metadata(classes), predictionCol="_forest_class", probabilityCol="_forest_p", rawPredictionCol="_forest_raw",
         )
         return ForestClassifierModel({"classes": classes}, {}, {"forest": forest})
 

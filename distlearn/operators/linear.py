@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression as SparkLinear
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..base import Fitted, Learner, class_counts, label_index, label_value
+from ..base import Fitted, Learner, class_counts, class_metadata, label_index, label_value
 from ..functions.algebra import affine, arg_max
 from ..functions.vectors import feature_vector, width
 from ..plans.gram import MAX_GRAM_WIDTH
@@ -180,7 +180,7 @@ class LogisticRegression(Learner):
         counts = class_counts(df, label)
         classes = list(counts)
         x = feature_vector(df, self.setting("features_col"), self.setting("handle_invalid"))
-        rows = df.select(x.alias("features"), label_index(label, classes).alias("label"))
+        rows = df.select(x.alias("features"), label_index(label, classes).alias("label", metadata=class_metadata(classes)))
         penalty = self.setting("penalty")
         mixing = {"l2": 0.0, "l1": 1.0, "elasticnet": self.setting("l1_ratio"), None: 0.0, "none": 0.0}[penalty]
         n = sum(counts.values()) if penalty in ("l2", "l1", "elasticnet") else 0

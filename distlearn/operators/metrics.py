@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..base import r_squared
@@ -21,6 +21,11 @@ def r2_score(df: DataFrame, label: str = LABEL, prediction: str = PREDICTION) ->
     return r_squared(df, F.col(label).cast("double"), F.col(prediction).cast("double"))
 
 
+def correlated(a: Column, b: Column) -> Column:
+    """Pearson correlation; null if either side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression_report(df: DataFrame, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
     """One row: mse, rmse, mae, r2, corr."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
@@ -29,7 +34,7 @@ def regression_report(df: DataFrame, label: str = LABEL, prediction: str = PREDI
     r2 = F.when(spread == 0, F.when(mse == 0, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) - F.try_divide(mse, spread))
     return df.agg(
         mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(y - p)).alias("mae"),
-        r2.alias("r2"), F.corr(y, p).alias("corr"),
+        r2.alias("r2"), correlated(y, p).alias("corr"),
     )
 
 
@@ -42,7 +47,7 @@ def mean_absolute_error(df: DataFrame, label: str = LABEL, prediction: str = PRE
 
 
 def correlation(df: DataFrame, a: str, b: str) -> float:
-    return df.agg(F.corr(a, b)).head()[0]
+    return df.agg(correlated(F.col(a), F.col(b))).head()[0]
 
 
 def confusion_matrix(df: DataFrame, label: str = LABEL, prediction: str = PREDICTION) -> DataFrame:
