@@ -160,9 +160,10 @@ def stretches(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Da
     """
     named = docs.where(F.col("doc_id").isNotNull())
     chosen = settle(chosen_phrases(named, window, phrase), "phrases")
-    recurring = chosen.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
+    # tables on their own, here and below: a join of plain exchanges is one whose hot keys Spark can split
+    recurring = settle(chosen.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase"), "recurring")
     lists = chosen.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))  # no longer than the text
-    lists = settle(lists, "recurring")
+    lists = settle(lists, "lists")
     met = named.select("doc_id", whole_text().alias("text")).join(lists, "doc_id")
     met = met.select("doc_id", F.xxhash64("text").alias("copy"), "text", "phrases")
 
@@ -191,7 +192,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Da
 
     fields = "doc_id long, copy long, phrase long, stretch long, first int, n int, windows binary"
     out = settle(met.mapInArrow(run, fields), "stretches")
-    discard(chosen, lists)
+    discard(chosen, recurring, lists)
     return out
 
 
@@ -204,7 +205,6 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     found = stretches(docs, window, phrase)
     kinds = found.groupBy("phrase", "stretch", "n").agg(F.min("doc_id").alias("least"))
     kinds = settle(kinds, "kinds")
-    # written out, so that the join has a plain exchange on either side and Spark can split a hot phrase
     mixed_phrases = settle(kinds.groupBy("phrase").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("phrase"), "mixed")
     judged = found.join(kinds, ["phrase", "stretch", "n"])
     whole = judged.where("least < doc_id").select("doc_id", "copy", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
@@ -224,10 +224,11 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
 
     single = settle(firsts.mapInArrow(run, "doc_id long, copy long, phrase long, start int, print long"), "windows")
     shared = single.groupBy("phrase", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    shared = settle(shared, "shared")
     apart = single.join(shared, ["phrase", "print"]).where("least < doc_id").select("doc_id", "copy", "start", (F.col("start") + window).alias("end"))
     spans = F.collect_list(F.struct("start", "end")).alias("spans")  # no more than the text has words
     out = settle(whole.unionByName(apart).groupBy("doc_id", "copy").agg(spans), "covered")
-    discard(found, kinds, mixed_phrases, single)
+    discard(found, kinds, mixed_phrases, single, shared)
     return out
 
 
