@@ -729,16 +729,16 @@ def dbscan_embeddings(spark, folder):
 
 
 @query("tsne")
-def tsne(spark, folder):
+def tsne(spark, folder, **options):
     rows = table(spark, folder, "embeddings")
-    df = TSNE(features_col="embedding", id_col="vec_id", perplexity=10.0, max_iter=8, random_state=42).fit_transform(rows)
+    df = TSNE(features_col="embedding", id_col="vec_id", perplexity=10.0, random_state=42, cell_rows=100, **options).fit_transform(rows)
     return df.select("vec_id", F.col("embedding")[0].alias("y0"), F.col("embedding")[1].alias("y1"))
 
 
 @query("umap")
-def umap(spark, folder):
+def umap(spark, folder, **options):
     rows = table(spark, folder, "embeddings")
-    df = UMAP(features_col="embedding", id_col="vec_id", max_iter=8, random_state=42).fit_transform(rows)
+    df = UMAP(features_col="embedding", id_col="vec_id", random_state=42, cell_rows=100, **options).fit_transform(rows)
     return df.select("vec_id", F.col("embedding")[0].alias("y0"), F.col("embedding")[1].alias("y1"))
 
 

@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SMALL
 
+FEWER_ROUNDS = {"tsne": {"max_iter": 8}, "umap": {"max_iter": 8}}  # the queries themselves run the defaults
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -28,7 +30,7 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SMALL).toPandas()
+    got = entry.queries()[name](spark, SMALL, **FEWER_ROUNDS.get(name, {})).toPandas()
     assert len(got)
     sql = entry.oracle_sql().get(name)
     if sql is None:
