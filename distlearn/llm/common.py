@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"  # a word: no space, tab, line or page break
 WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",  # a step's shuffles go when it is written
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # texts are long: small batches to and from Python
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
