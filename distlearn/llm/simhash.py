@@ -113,6 +113,8 @@ def links(classes: DataFrame, bucket: int = BUCKET, near: int = NEAR) -> DataFra
     Fingerprints meet if they share a half, or if halves of theirs share a variant. What meets is
     compared in one task, in pieces where it is much, and gives a spanning set of links, never all pairs.
     """
+    if near > NEAR:
+        raise ValueError(f"two halves find {NEAR} bits at most; use near_copies for texts further apart")
     rows = halves(classes)
     known = settle(rows.groupBy("side", "half").agg(F.count(F.lit(1)).alias("n")), "halves")
     own = F.call_function("shiftleft", (F.col("side") + 2 * HALF).cast("bigint"), F.lit(HALF)).bitwiseOR(F.col("half"))
