@@ -50,3 +50,17 @@ def test_simhash_refuses_more_bits(spark):
         simhash.links(spark.createDataFrame([(1, 0)], "fp long, least long"), near=4)
 
 
+def test_null_and_shared_ids(spark):
+    draw = random.Random(6)
+    a, b, c, d = (prose(draw, 100) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (3, altered(draw, d, 1)), (None, altered(draw, a, 1)), (None, b)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    found = kept(spark, rows)
+    assert len(found) == 4 and rows[1] in found and rows[2] in found and rows[4] in found
+    assert len({rows[0], rows[5]} & set(found)) == 1
+
+
+def test_rerun_keeps_the_same_row(spark):
+    rows = [(1, "a text of some words here", lang, "s", None) for lang in "abcdefgh"]
+    runs = [corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(r, SCHEMA).coalesce(1), "").collect() for r in (rows, rows[::-1])]
+    assert len(runs[0]) == 1 and runs[0] == runs[1]
