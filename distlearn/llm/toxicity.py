@@ -27,8 +27,10 @@ from ..plans.lineage import discard
 from .common import settle, whole_text
 
 SAMPLE_DOCS = 20_000  # about so many labelled documents, drawn by a hash of the id, train the model
-LANDMARKS = 48
 LEAST_DOCS = 4  # documents that a landmark occurs in
+STRONGEST = 48  # words with the strongest z that small samples take as landmarks without proof
+CHANCE = 0.01  # share of chance finds among the words tied to toxicity, at most
+COVERED = 0.95  # a word this close to a landmark needs none of its own
 ORDER_SPAN = 6  # letters that a subsequence may stretch over
 DECAY = 0.85  # per letter in a gap
 POWERS = (1, 8)  # the machine adds the kernel and a power of it: likeness, and near identity
@@ -39,36 +41,50 @@ DISGUISED = 0.05  # weight of disguised landmarks in the curve, against that of
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")  # letters set apart: i d i o t
 NOT_LETTERS = re.compile(r"[\W_]+")
-FOREIGN = re.compile(r"[^a-z]")
+DIGIT = re.compile(r"\d")
 DIGITS = str.maketrans("0134578", "oieastb")
 REMEMBERED = 400_000  # words a Python worker keeps
 
 
 def plain(word: str) -> str:
-    """Letters a-z of a lower-case word: accents and marks dropped, look-alike digits read as letters."""
+    """Letters of a lower-case word, of any script: accents and marks dropped, look-alike digits read as letters."""
     word = word.replace("@", "a")
     if not word.isascii():
         word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
-    return FOREIGN.sub("{", NOT_LETTERS.sub("", word).translate(DIGITS))
+    return DIGIT.sub("{", NOT_LETTERS.sub("", word).translate(DIGITS))
 
 
 class Kernel:
     """Normalised gap-weighted kernel between words and a list of landmarks."""
 
-    SIZE = 28**3
+    SLOTS = 20  # bits: a table by hash tells most subsequences that no landmark has
+    MIX = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, landmarks: list[str], decay: float = DECAY, span: int = ORDER_SPAN, floor: float = FLOOR):
         self.landmarks, self.span, self.floor = landmarks, span, floor
         self.offsets = [(a, b, decay ** (b - 2)) for b in range(2, span) for a in range(1, b)]
-        self.table = np.zeros((self.SIZE, len(landmarks)), np.float32)
-        for at, word in enumerate(landmarks):
-            self.table[:, at] = self._dense(word)
-        self.met = self.table.any(axis=1)
+        owner, key, weight = self._summed(landmarks)
+        self.codes, at = np.unique(key, return_inverse=True)
+        self.table = np.zeros((len(self.codes), len(landmarks)), np.float32)
+        norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(landmarks)))
+        self.table[at, owner] = weight / norm[owner]
+        self.slots = np.zeros(1 << self.SLOTS, bool)
+        self.slots[self._slot(self.codes)] = True
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * self.MIX) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _met(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the subsequences that landmarks have, and their rows of the table."""
+        maybe = np.flatnonzero(self.slots[self._slot(code)])
+        row = np.minimum(np.searchsorted(self.codes, code[maybe]), len(self.codes) - 1)
+        same = self.codes[row] == code[maybe] if len(self.codes) else np.zeros(0, bool)
+        return maybe[same], row[same]
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letter codes of all words, apart from each other, and the word of each."""
-        gap = "`" * (self.span - 1)  # the character before a: code 0
-        flat = np.frombuffer((gap.join(words) + gap).encode(), np.uint8).astype(np.int32) - 96
+        """Code points of all words, apart from each other (0), and the word of each."""
+        gap = "\0" * (self.span - 1)
+        flat = np.frombuffer((gap.join(words) + gap).encode("utf-32-le"), np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(words)), [len(w) + len(gap) for w in words])
         return flat, owner
 
@@ -78,14 +94,17 @@ class Kernel:
         for a, b, weight in self.offsets:
             first, second, third = flat[: len(flat) - b], flat[a : len(flat) - b + a], flat[b:]
             whole = np.flatnonzero((first > 0) & (second > 0) & (third > 0))
-            yield owner[whole], (first[whole] * 28 + second[whole]) * 28 + third[whole], weight
-
-    def _dense(self, word: str) -> np.ndarray:
-        out = np.zeros(self.SIZE, np.float32)
-        for _, code, weight in self._parts([word]):
-            np.add.at(out, code, weight)
-        norm = np.sqrt((out * out).sum())
-        return out / norm if norm else out
+            yield owner[whole], (first[whole] << 42) | (second[whole] << 21) | third[whole], weight
+
+    def _summed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, subsequence, summed weight), once for each subsequence of a word."""
+        parts = [(word, code, np.full(len(code), weight)) for word, code, weight in self._parts(words)]
+        word, code, weight = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((code, word))
+        word, code, weight = word[order], code[order], weight[order]
+        first = np.ones(len(word), bool)
+        first[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
+        return word[first], code[first], np.bincount(np.cumsum(first) - 1, weight, minlength=first.sum())
 
     def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of words close to a landmark, their kernel values with each landmark).
@@ -99,21 +118,17 @@ class Kernel:
         own, shared = np.zeros(len(words)), np.zeros(len(words))
         for word, code, weight in self._parts(words):
             own += np.bincount(word, minlength=len(words)) * weight**2
-            shared += np.bincount(word[self.met[code]], minlength=len(words)) * weight**2
+            shared += np.bincount(word[self._met(code)[0]], minlength=len(words)) * weight**2
         near = np.flatnonzero((shared >= self.floor**2 * own) & (shared > 0))
         if not len(near):
             return none
-        keys, weights = [], []
-        for word, code, weight in self._parts([words[i] for i in near]):
-            keys.append(word.astype(np.int64) * self.SIZE + code)
-            weights.append(np.full(len(code), weight))
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        weight = np.bincount(at, np.concatenate(weights))
-        word, code = np.divmod(key, self.SIZE)
+        word, code, weight = self._summed([words[i] for i in near])
         norm = np.sqrt(np.bincount(word, weight**2, minlength=len(near)))
         out = np.zeros((len(near), len(self.landmarks)), np.float32)
-        hit = self.met[code]
-        np.add.at(out, word[hit], self.table[code[hit]] * weight[hit, None].astype(np.float32))
+        hit, row = self._met(code)
+        for start in range(0, len(hit), 20_000):
+            part = slice(start, start + 20_000)
+            np.add.at(out, word[hit[part]], self.table[row[part]] * weight[hit[part], None].astype(np.float32))
         out /= norm[:, None]
         out[out < self.floor] = 0
         found = out.any(axis=1)
@@ -204,10 +219,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: in
     return out
 
 
-def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """The words tied most strongly to toxic texts: by the z value of their share of toxic texts.
+def covering(words: list[str]) -> list[str]:
+    """The words without those that are close to an earlier one."""
+    out: list[str] = []
+    at, values = Kernel(words, floor=0.0).values(words)
+    close = np.zeros((len(words), len(words)), bool)
+    close[at] = values >= COVERED
+    taken = np.zeros(len(words), bool)
+    for i, word in enumerate(words):
+        if not close[i, taken].any():
+            taken[i] = True
+            out.append(word)
+    return out
+
+
+def choose_landmarks(sample: DataFrame) -> list[str]:
+    """The words tied to toxic texts beyond chance, strongest evidence first, as far as others don't cover them.
 
-    Words with less than half the strongest z are left out, so that chance finds are no landmarks.
+    Evidence is the Chernoff bound on the chance of so many toxic texts among the word's; which words pass
+    follows from CHANCE and the number of words by Benjamini and Hochberg, not from the strongest word. As small
+    samples prove little, the STRONGEST words by z are added, as far as z is above 3 and half the strongest.
+    Near copies share words and labels, which is no evidence: of the words that pass, each pair of neighbours
+    (of the first occurrence in a text) counts once, and the words must pass again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +259,42 @@ def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
     rate = sample.agg(F.avg(F.col("toxic").cast("double"))).head()[0] or 0.0
     if not 0 < rate < 1:
         return []
-    n = F.col("n")
-    z = (F.col("t") - n * rate) / F.sqrt(n * (rate * (1 - rate)))
+    n, t = F.col("n"), F.col("t")
+    share = t / n
+    evidence = F.when(t > 0, t * F.log(share / rate)).otherwise(0.0) + F.when(t < n, (n - t) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     counted = sample.select("text", "toxic").mapInArrow(run, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    top = counted.where(n >= LEAST_DOCS).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "word").limit(most).collect()
-    return [r["word"] for r in top if r["z"] >= top[0]["z"] / 2]
+    tested = settle(counted.where(n >= LEAST_DOCS), "tested")
+    words = tested.count()
+    found = tested.where(share > rate).select("word", evidence.alias("e")).where(F.col("e") >= float(np.log(1 / CHANCE))).orderBy(F.desc("e"), "word").collect()
+    z = (t - n * rate) / F.sqrt(n * (rate * (1 - rate)))
+    top = tested.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "word").limit(STRONGEST).collect()
+    discard(tested)
+    passed = [i for i, r in enumerate(found, 1) if r["e"] >= np.log(words / (CHANCE * i))]
+    likely = {r["word"] for r in found[: max(passed, default=0)]}
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, str] = {}
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts, met = text.lower().split(), set()
+                for i, w in enumerate(parts):
+                    p = read.get(w)
+                    if p is None:
+                        p = read[w] = plain(w)
+                    if p in likely and p not in met:
+                        met.add(p)
+                        rows.append((p, " ".join([*parts[max(0, i - 1) : i], "", *parts[i + 1 : i + 2]]), int(toxic or 0)))
+            if len(read) > REMEMBERED:
+                read = {}
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate((("word", pa.string()), ("beside", pa.string()), ("toxic", pa.int32())))})
+
+    once = sample.select("text", "toxic").mapInArrow(neighbours, "word string, beside string, toxic int").groupBy("word", "beside").agg(F.min("toxic").alias("toxic"))
+    again = once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).where(share > rate)
+    again = again.select("word", evidence.alias("e")).orderBy(F.desc("e"), "word").collect() if likely else []
+    passed = [i for i, r in enumerate(again, 1) if r["e"] >= np.log(words / (CHANCE * i))]
+    proven = [r["word"] for r in again[: max(passed, default=0)]]
+    return covering(list(dict.fromkeys([*proven, *(r["word"] for r in top if r["z"] >= top[0]["z"] / 2)])))
 
 
 def disguised(word: str) -> list[str]:
