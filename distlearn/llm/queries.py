@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, extract, language_model, mixing, neighbours, passages, secret_scan, simhash, toxicity, vector_dedup
+from . import (
+    bpe, conversation_trie, extract, language_model, mixing, neighbours, passages, secret_scan, simhash, spellings, token_counts, toxicity, vector_dedup,
+)
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +187,89 @@ FROM docs LEFT JOIN kept USING (doc_id)
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_token_counts")
+def token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+# crc32 by its table, and of a list of bytes
+CRC_SQL = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(range(0, len(hex({text})) // 2), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH {CRC_SQL},
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), crc),
+parts AS (
+  SELECT c.conv_id, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos > h),
+seqs AS (
+  SELECT conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ks,
+         list(strlen(text) ORDER BY pos) AS sizes
+  FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+members AS (
+  SELECT conv_id, depth, array_to_string(ks[1:depth], ' ') AS node, coalesce(sizes[depth], 0) AS size, depth = len(ks) AS ends
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS depth FROM seqs)),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM members GROUP BY node, depth),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes),
+kids AS (SELECT left(node, 33 * up - 1 + (up = 0)::INT) AS node, up AS depth, count(*) AS n FROM above WHERE up = depth - 1 GROUP BY ALL),
+sums AS (
+  SELECT left(a.node, 33 * up - 1 + (up = 0)::INT) AS node, up AS depth, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM above a LEFT JOIN kids k ON k.node = a.node AND k.depth = a.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN kids k ON k.node = n.node AND k.depth = n.depth
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = left(n.node, greatest(33 * (n.depth - 1) - 1, 0))
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+SPELLINGS_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spellings.UPPER}', '{spellings.LOWER}'), '{spellings.RUN}')) AS run FROM documents),
+hashed AS (
+  SELECT run, k, {_crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL), crc),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS c FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.c = b.c AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.c = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.c = b.word),
+ranked AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS form_n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS r FROM near),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN other END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+paths AS (SELECT word, word AS at FROM words UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN paths p USING (word) JOIN forms last ON last.word = p.at WHERE last.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", SPELLINGS_SQL)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.group_spellings(table(spark, folder, "documents"))
