@@ -57,29 +57,37 @@ def plain(word: str) -> str:
 class Kernel:
     """Normalised gap-weighted kernel between words and a list of landmarks."""
 
-    SLOTS = 20  # bits: a table by hash tells most subsequences that no landmark has
-    MIX = np.uint64(0x9E3779B97F4A7C15)
+    TABLE = 1 << 24  # entries of the table of subsequences that landmarks have
 
     def __init__(self, landmarks: list[str], decay: float = DECAY, span: int = ORDER_SPAN, floor: float = FLOOR):
         self.landmarks, self.span, self.floor = landmarks, span, floor
         self.offsets = [(a, b, decay ** (b - 2)) for b in range(2, span) for a in range(1, b)]
+        alphabet = sorted({c for w in landmarks for c in w})
+        self.size = len(alphabet) + 1  # letters of landmarks; all others are 0, as no landmark can share them
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[[ord(c) for c in alphabet]] = np.arange(1, self.size)
         owner, key, weight = self._summed(landmarks)
         self.codes, at = np.unique(key, return_inverse=True)
-        self.table = np.zeros((len(self.codes), len(landmarks)), np.float32)
         norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(landmarks)))
-        self.table[at, owner] = weight / norm[owner]
-        self.slots = np.zeros(1 << self.SLOTS, bool)
-        self.slots[self._slot(self.codes)] = True
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code.astype(np.uint64) * self.MIX) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        order = np.argsort(at, kind="stable")  # for each subsequence the landmarks that have it, and their weights
+        self.starts = np.searchsorted(at[order], np.arange(len(self.codes) + 1))
+        self.owners, self.shares = owner[order], (weight / norm[owner])[order]
+        # three letters index the table themselves unless the landmarks' alphabet is very large
+        letters = [(self.codes >> s) & (2**21 - 1) for s in (42, 21, 0)]
+        self.held = np.zeros(min(self.size**3, self.TABLE), bool)
+        self.held[self._entry(*(self.letter[x] for x in letters))] = True
+
+    def _entry(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        at = (first * self.size + second) * self.size + third
+        return at if self.size**3 <= self.TABLE else at % self.TABLE
 
     def _met(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the subsequences that landmarks have, and their rows of the table."""
-        maybe = np.flatnonzero(self.slots[self._slot(code)])
-        row = np.minimum(np.searchsorted(self.codes, code[maybe]), len(self.codes) - 1)
-        same = self.codes[row] == code[maybe] if len(self.codes) else np.zeros(0, bool)
-        return maybe[same], row[same]
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        found = np.flatnonzero(self.codes[row] == code)
+        return found, row[found]
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of all words, apart from each other (0), and the word of each."""
@@ -88,23 +96,39 @@ class Kernel:
         owner = np.repeat(np.arange(len(words)), [len(w) + len(gap) for w in words])
         return flat, owner
 
-    def _parts(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-        """(word, subsequence, weight) for each placement of the three letters."""
+    def _shared(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's weight on subsequences that landmarks have, and in all."""
         flat, owner = self._letters(words)
+        letter = self.letter[flat]
+        first, second = letter * self.size**2, letter * self.size
+        direct = self.size**3 <= self.TABLE
+        lengths = np.array([len(w) for w in words])
+        shared, own = np.zeros(len(words)), np.zeros(len(words))
         for a, b, weight in self.offsets:
-            first, second, third = flat[: len(flat) - b], flat[a : len(flat) - b + a], flat[b:]
-            whole = np.flatnonzero((first > 0) & (second > 0) & (third > 0))
-            yield owner[whole], (first[whole] << 42) | (second[whole] << 21) | third[whole], weight
+            at = first[: len(flat) - b] + second[a : len(flat) - b + a] + letter[b:]
+            hit = np.flatnonzero(self.held[at if direct else at % self.TABLE])
+            if not direct:  # entries may coincide
+                code = (flat[hit] << 42) | (flat[hit + a] << 21) | flat[hit + b]
+                hit = hit[self._met(code)[0]]
+            shared += np.bincount(owner[hit], minlength=len(words)) * weight**2
+            own += np.maximum(lengths - b, 0) * weight**2
+        return shared, own
 
     def _summed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, subsequence, summed weight), once for each subsequence of a word."""
-        parts = [(word, code, np.full(len(code), weight)) for word, code, weight in self._parts(words)]
-        word, code, weight = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((code, word))
-        word, code, weight = word[order], code[order], weight[order]
-        first = np.ones(len(word), bool)
-        first[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
-        return word[first], code[first], np.bincount(np.cumsum(first) - 1, weight, minlength=first.sum())
+        flat, owner = self._letters(words)
+        points, local = np.unique(flat, return_inverse=True)
+        n = len(points)
+        keys, weights = [], []
+        for a, b, weight in self.offsets:  # every placement of three letters
+            first, third = flat[: len(flat) - b], flat[b:]
+            at = np.flatnonzero((first > 0) & (third > 0))
+            keys.append(((owner[at] * n + local[at]) * n + local[at + a]) * n + local[at + b])
+            weights.append(np.full(len(at), weight))
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        key, at = np.unique(key, return_inverse=True)
+        third, second, first = points[key % n], points[key // n % n], points[key // n**2 % n]
+        return key // n**3, (first << 42) | (second << 21) | third, np.bincount(at, weight, minlength=len(key))
 
     def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of words close to a landmark, their kernel values with each landmark).
@@ -115,10 +139,7 @@ class Kernel:
         none = np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         if not words or not self.landmarks:
             return none
-        own, shared = np.zeros(len(words)), np.zeros(len(words))
-        for word, code, weight in self._parts(words):
-            own += np.bincount(word, minlength=len(words)) * weight**2
-            shared += np.bincount(word[self._met(code)[0]], minlength=len(words)) * weight**2
+        shared, own = self._shared(words)
         near = np.flatnonzero((shared >= self.floor**2 * own) & (shared > 0))
         if not len(near):
             return none
@@ -126,10 +147,11 @@ class Kernel:
         norm = np.sqrt(np.bincount(word, weight**2, minlength=len(near)))
         out = np.zeros((len(near), len(self.landmarks)), np.float32)
         hit, row = self._met(code)
-        for start in range(0, len(hit), 20_000):
-            part = slice(start, start + 20_000)
-            np.add.at(out, word[hit[part]], self.table[row[part]] * weight[hit[part], None].astype(np.float32))
-        out /= norm[:, None]
+        counts = self.starts[row + 1] - self.starts[row]  # landmarks that have the subsequence
+        entry = np.repeat(self.starts[row] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(row) else row
+        cell = np.repeat(word[hit], counts) * len(self.landmarks) + self.owners[entry]
+        summed = np.bincount(cell, np.repeat(weight[hit], counts) * self.shares[entry], minlength=out.size)
+        out[:] = summed.reshape(out.shape) / norm[:, None]
         out[out < self.floor] = 0
         found = out.any(axis=1)
         return near[found], out[found]
@@ -142,13 +164,17 @@ class Reader:
         self.kernel = kernel
         self.seen: set[str] = set()
         self.close: dict[str, np.ndarray] = {}
+        self.seen_before: set[str] = set()  # words of the memory that was set aside last
+        self.close_before: dict[str, np.ndarray] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.seen)
+        new = words - self.seen
         if len(self.seen) > REMEMBERED:
-            self.seen, self.close = set(words), {}
-            new = list(words)
+            self.seen_before, self.close_before, self.seen, self.close, new = self.seen, self.close, set(), {}, words
         self.seen.update(new)
+        known = new & self.seen_before
+        self.close.update((w, self.close_before[w]) for w in known & self.close_before.keys())
+        new = list(new - known)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             at, values = self.kernel.values([plain(w) for w in part])

@@ -56,3 +56,38 @@ def test_kernel_against_a_plain_one():
     at, values = toxicity.Kernel(landmarks, floor=0.0).values(words)
     got[at] = values
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_kernel_values_against_plain_sums():
+    def subsequences(word):
+        out = {}
+        for i in range(len(word)):
+            for b in range(2, toxicity.ORDER_SPAN):
+                for a in range(1, b):
+                    if i + b < len(word):
+                        key = word[i], word[i + a], word[i + b]
+                        out[key] = out.get(key, 0) + toxicity.DECAY ** (b - 2)
+        return out
+
+    def kernel(x, y):
+        p, q = subsequences(x), subsequences(y)
+        norm = (sum(v * v for v in p.values()) * sum(v * v for v in q.values())) ** 0.5
+        return sum(v * q.get(k, 0) for k, v in p.items()) / norm if norm else 0
+
+    draw = random.Random(2)
+    landmarks = ["".join(draw.choice("abcdeéд") for _ in range(draw.randint(3, 9))) for _ in range(40)]
+    words = ["".join(draw.choice("abcdeéдxyz漢") for _ in range(draw.randint(0, 12))) for _ in range(800)] + landmarks
+    at, values = toxicity.Kernel(landmarks).values(words)
+    got = np.zeros((len(words), len(landmarks)))
+    got[at] = values
+    want = np.array([[kernel(w, x) for x in landmarks] for w in words])
+    assert np.allclose(got, np.where(want >= toxicity.FLOOR, want, 0), atol=1e-6) and (got > 0).sum() > 50
+
+
+def test_words_set_aside_are_remembered(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    texts = ["an idiot here", "one two three four five", "an idiot again", "six seven eight nine", "the idiott"]
+    small, whole = toxicity.Reader(toxicity.Kernel(["idiot"])), toxicity.Reader(toxicity.Kernel(["idiot"]))
+    for t in texts:
+        assert len(small.sentences([t])[0]) == ("idiot" in t)
+    assert [len(x) for x in whole.sentences(texts)] == [1, 0, 1, 0, 1]
