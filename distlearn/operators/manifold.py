@@ -209,9 +209,9 @@ class UMAPModel(_MapModel):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         df = self._input(df)
-        finder = NeighborsModel({k: self.state[k] for k in ("pivots", "radius", "rows", "weight", "copies", "total")}, self.tables)
+        finder = NeighborsModel({k: self.state[k] for k in ("copies", "total")}, self.tables)
         finder = self._give(finder)
-        k = min(self.setting("n_neighbors"), int(self.state["rows"].sum()))
+        k = min(self.setting("n_neighbors"), int(self.state["total"]))
         edges = settle(neighbour_weights(finder.kneighbors(df, k), k, umap_weights, False), "reach")
         table = self.tables["positions"]
         ys = sorted(c for c in table.columns if c.startswith("y"))
@@ -273,7 +273,7 @@ class UMAP(_MapLearner):
         positions = run_layout(
             edges, self._start(df, 3.0), self.setting("n_components"), epochs, attract, repel, advance
         )
-        return UMAPModel(dict(finder.state), {"positions": positions, "points": finder.tables["points"]})
+        return UMAPModel(dict(finder.state), {"positions": positions, "points": finder.tables["points"], "nodes": finder.tables["nodes"]})
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         """Positions found by the layout itself."""

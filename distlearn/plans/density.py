@@ -4,7 +4,8 @@ If many rows are equal, they are merged into one weighted point. Cells answer mo
 that lies wholly within eps of a point adds its weight without looking inside, and a cell
 of diameter <= eps with enough weight is one lump of core points. Only the remaining cells
 are compared block by block, and each comparison returns at most one row per point: a
-count, a spanning set of links, or the smallest neighbouring cluster.
+count, a spanning set of links, or the smallest neighbouring cluster. Rows with up to three features go through
+the grid of ``grid.py`` instead.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .cells import (
     within,
 )
 from .components import connected_components
+from .grid import grid_clusters, grid_for
 from .lineage import discard, settle
 from .order import dense_index
 from .skew import hot_join
@@ -52,6 +54,18 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     distinct, total = groups.agg(F.count(F.lit(1)), F.sum("weight")).head()
     if distinct == 0:
         return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
+    grid = grid_for(groups, eps)
+    labelled = grid_clusters(groups, grid, eps, min_samples) if grid else _cell_clusters(groups, distinct, eps, min_samples, cell_rows)
+    cluster = F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
+    if not merge:
+        return rows.select("id").join(labelled, "id", "left").select("id", cluster)
+    answers = groups.join(labelled, "id", "left").select("x", "weight", cluster)
+    joined = hot_join(rows.select("id", "x"), answers, "x", "weight", F.xxhash64("id"), total=total)
+    return joined.select("id", "cluster")
+
+
+def _cell_clusters(groups: DataFrame, distinct: int, eps: float, min_samples: int, cell_rows: int) -> DataFrame:
+    """(id, cluster) of core and border rows by cells around pivots, for rows with many features."""
     cells = Cells(draw_rows(groups, pivot_count(distinct, cell_rows), distinct))
     points = settle(assign(groups, cells), "points")
     measure(points, cells, "weight")
@@ -61,16 +75,11 @@ def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: i
     filled = Cells(cells.pivots)
     floor = measure(core, filled)
     if floor is None:
-        return rows.select("id", F.lit(NOISE).cast("long").alias("cluster"))
+        return groups.select("id", F.lit(NOISE).cast("long").alias("cluster")).limit(0)
     clustered = _core_clusters(core, filled, floor, lumps, eps)
     labelled = _with_border(points, clustered, filled, eps)
     discard(core, clustered, points)
-    cluster = F.coalesce("cluster", F.lit(NOISE).cast("long")).alias("cluster")
-    if not merge:
-        return rows.select("id").join(labelled, "id", "left").select("id", cluster)
-    answers = groups.join(labelled, "id", "left").select("x", "weight", cluster)
-    joined = hot_join(rows.select("id", "x"), answers, "x", "weight", F.xxhash64("id"), total=total)
-    return joined.select("id", "cluster")
+    return labelled
 
 
 def _flag(values: np.ndarray) -> Column:

@@ -21,7 +21,7 @@ def test_all_copies_stay_reachable(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(nearest, "COPIES", 10)
     df = copies(spark, 600)
     model = dl.NearestNeighbors(n_neighbors=2, cell_rows=50).fit(df)
-    assert model.state["total"] == 600 and model.state["rows"].sum() < 600
+    assert model.state["total"] == 600 and model.tables["points"].count() < 600
     store = dl.ModelStore(spark, str(tmp_path))
     store.save(model, "near")
     for m in (model, store.load("near")):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import cells, components, density, lineage, nearest
+from distlearn.plans import cells, components, density, grid, lineage, nearest, tree
 from distlearn.plans.components import connected_components
 from distlearn.plans.lineage import settle
 from distlearn.plans.order import dense_index, running_totals
@@ -23,6 +23,10 @@ def tight(monkeypatch):
     monkeypatch.setattr(nearest, "COLLAPSE_ROWS", 100)
     monkeypatch.setattr(nearest, "COPIES", 20)
     monkeypatch.setattr(density, "COPIES", 20)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(tree, "SPREAD_ROWS", 150)
+    monkeypatch.setattr(tree, "PIECE", 32)
+    monkeypatch.setattr(tree, "FAN", 4)
     monkeypatch.setattr(cells, "SLICE_ROWS", 150)
     monkeypatch.setattr(cells, "QUERY_SLICE_ROWS", 120)
     monkeypatch.setattr(cells, "BLOCK_ROWS", 64)
@@ -69,6 +73,30 @@ def test_nearest_with_a_hot_cell(spark, tight):
     check_nearest(crowd, crowd, 4, cell_rows=100)
 
 
+def test_leaves_visited_stay_few_as_rows_grow(spark):
+    at_2000 = nearest_visits(spark, 2_000)
+    assert nearest_visits(spark, 8_000) <= at_2000 + 1 and at_2000 < 8
+
+
+def nearest_visits(spark, n):
+    """Leaves visited per query for its 5 nearest rows."""
+    points = make_gaussian(n, 2, spark=spark).select("id", F.col("features").alias("x"))
+    placed, nodes = tree.grow(points, n, 50)
+    leaves = nodes.where("leaf")
+    assert leaves.agg(F.sum("rows")).head()[0] == n and leaves.agg(F.max("rows")).head()[0] <= 50
+    assert placed.join(leaves.select(F.col("id").alias("node")), "node", "left_anti").isEmpty()
+    asked = points.where("id % 20 = 0")
+    far = nearest.nearest(asked, placed, nodes, 5).groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("bound"))
+    start = asked.join(far, "id").selectExpr("id", "x", "0L as node", "bound", "-1L as home")
+    return nearest._walk(start, nodes, tree.levels(nodes), nearest._possible, None, None).count() / asked.count()
+
+
+def test_tree_of_copies_ends(spark):
+    same = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    placed, nodes = tree.grow(same, 300, 20)
+    assert placed.count() == 300 and nodes.count() == 1 and nodes.head()["rows"] == 300
+
+
 def test_nearest_far_from_the_origin(spark):
     df = make_gaussian(300, 2, spark=spark).withColumn("features", F.transform("features", lambda v: v + 1e6))
     check_nearest(df, df, 3, cell_rows=20)
@@ -228,3 +256,28 @@ def test_superseded_tables_are_removed(spark):
     assert Path(table._settled_path).exists()
     lineage.discard(table)
     assert not Path(table._settled_path).exists()
+
+
+@pytest.mark.parametrize("width,eps,need", [(1, 0.02, 4), (2, 0.15, 4), (3, 0.4, 5)])
+def test_density_on_the_grid(spark, monkeypatch, width, eps, need):
+    """Against all pairs, once with every comparison of cells row by row and once through ever smaller parts."""
+    df = make_gaussian(700, width, spark=spark)
+    for compared in (grid.COMPARED, 4):
+        monkeypatch.setattr(grid, "COMPARED", compared)
+        check_density(df, eps, need)
+
+
+def test_density_of_two_crowded_cells(spark, monkeypatch):
+    """Two clouds whose cells touch within eps only at one pair of rows, and a dense cell with nine tenths of the rows."""
+    monkeypatch.setattr(grid, "COMPARED", 50)
+    spot = F.when(F.col("id") < 150, 0.0).when(F.col("id") < 300, 1.05).otherwise(40.0)
+    df = spark.range(1000).select("id", F.array(spot + (F.col("id") * 37 % 101) / 2000.0, (F.col("id") * 53 % 97) / 3000.0).alias("features"))
+    for eps in (0.98, 1.0, 1.02, 1.2):
+        check_density(df, eps, 5)
+
+
+def test_density_beyond_the_grid(spark):
+    """So many cells that their numbers don't fit, and infinite eps, go by pivots or one cell."""
+    df = make_gaussian(300, 2, spark=spark).withColumn("features", F.transform("features", lambda v: v * 1e12))
+    check_density(df, 1e-3, 2)
+    check_density(make_gaussian(200, 2, spark=spark), 50.0, 5)
