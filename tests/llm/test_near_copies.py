@@ -28,7 +28,8 @@ def altered(draw, words, changes):
 
 @pytest.mark.parametrize("bucket", [3, near_copies.BUCKET])
 def test_all_pairs(spark, bucket, monkeypatch):
-    monkeypatch.setattr(near_copies.candidates, "__defaults__", (near_copies.SIMILARITY, bucket))
+    monkeypatch.setattr(near_copies.loose_groups, "__defaults__", (near_copies.SIMILARITY, bucket))
+    monkeypatch.setattr(near_copies.verified, "__defaults__", (near_copies.SIMILARITY, bucket))
     draw, texts = random.Random(5), []
     for n in (60, 100, 100, 300, 300):
         start = prose(draw, n)
@@ -64,3 +65,39 @@ def test_rerun_keeps_the_same_row(spark):
     rows = [(1, "a text of some words here", lang, "s", None) for lang in "abcdefgh"]
     runs = [corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(r, SCHEMA).coalesce(1), "").collect() for r in (rows, rows[::-1])]
     assert len(runs[0]) == 1 and runs[0] == runs[1]
+
+
+def test_links_of_many_near_copies_grow_with_their_number(spark):
+    """Copies 0.7 to 0.9 alike: at most two links a text, and the components of all pairs."""
+    draw = random.Random(7)
+    start = prose(draw, 120)
+    texts = [" ".join(altered(draw, start, draw.randint(0, 4))) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marked = near_copies.signatures(docs).withColumnRenamed("doc_id", "first")
+    groups = near_copies.loose_groups(marked, bucket=100)
+    assert groups.count() > 400
+    asked = near_copies._shingled(docs.select(near_copies.text_class().alias("class"), "text")).join(marked.select("class", "signature"), "class").join(groups, "class")
+    links = near_copies.verified(asked.dropDuplicates(["class"]), limit=100).collect()
+    assert len(links) <= 2 * 600
+    root = {r["class"]: r["class"] for r in groups.collect()}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {r["class"]: near_copies.shingles(r["text"]) for r in docs.select(near_copies.text_class().alias("class"), "text").collect()}
+    for r in links:
+        assert near_copies.similarity(sets[r["u"]], sets[r["v"]]) >= 0.8
+        root[top(r["u"])] = top(r["v"])
+    names = list(root)
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if top(a) != top(b):
+                assert near_copies.similarity(sets[a], sets[b]) < 0.8
+
+
+def test_clashing_names_and_maps(spark):
+    docs = spark.createDataFrame([(1, "one text", {"a": 1}, 5), (2, "one text", {"b": 2}, 6), (3, "another", None, 7)], "doc_id long, text string, kept map<string,int>, class long")
+    got = near_copies.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["class"]) for r in got.collect()) == [(1, 5), (3, 7)]
