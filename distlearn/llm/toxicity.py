@@ -57,6 +57,7 @@ def plain(word: str) -> str:
 class Kernel:
     """Normalised gap-weighted kernel between words and a list of landmarks."""
 
+    AT_ONCE = 1 << 18  # products summed at once
     TABLE = 1 << 24  # entries of the table of subsequences that landmarks have
 
     def __init__(self, landmarks: list[str], decay: float = DECAY, span: int = ORDER_SPAN, floor: float = FLOOR):
@@ -64,7 +65,7 @@ class Kernel:
         self.offsets = [(a, b, decay ** (b - 2)) for b in range(2, span) for a in range(1, b)]
         alphabet = sorted({c for w in landmarks for c in w})
         self.size = len(alphabet) + 1  # letters of landmarks; all others are 0, as no landmark can share them
-        self.letter = np.zeros(0x110000, np.int64)
+        self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in alphabet]] = np.arange(1, self.size)
         owner, key, weight = self._summed(landmarks)
         self.codes, at = np.unique(key, return_inverse=True)
@@ -75,7 +76,7 @@ class Kernel:
         # three letters index the table themselves unless the landmarks' alphabet is very large
         letters = [(self.codes >> s) & (2**21 - 1) for s in (42, 21, 0)]
         self.held = np.zeros(min(self.size**3, self.TABLE), bool)
-        self.held[self._entry(*(self.letter[x] for x in letters))] = True
+        self.held[self._entry(*(self.letter[x].astype(np.int64) for x in letters))] = True
 
     def _entry(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
         at = (first * self.size + second) * self.size + third
@@ -99,7 +100,7 @@ class Kernel:
     def _shared(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's weight on subsequences that landmarks have, and in all."""
         flat, owner = self._letters(words)
-        letter = self.letter[flat]
+        letter = self.letter[flat].astype(np.int64)
         first, second = letter * self.size**2, letter * self.size
         direct = self.size**3 <= self.TABLE
         lengths = np.array([len(w) for w in words])
@@ -148,10 +149,16 @@ class Kernel:
         out = np.zeros((len(near), len(self.landmarks)), np.float32)
         hit, row = self._met(code)
         counts = self.starts[row + 1] - self.starts[row]  # landmarks that have the subsequence
-        entry = np.repeat(self.starts[row] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(row) else row
-        cell = np.repeat(word[hit], counts) * len(self.landmarks) + self.owners[entry]
-        summed = np.bincount(cell, np.repeat(weight[hit], counts) * self.shares[entry], minlength=out.size)
-        out[:] = summed.reshape(out.shape) / norm[:, None]
+        ends = np.cumsum(counts)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, self.AT_ONCE)))
+        for a, b in zip(cuts, [*cuts[1:], len(hit)]):
+            n, low = counts[a:b], word[hit[a]]
+            entry = np.repeat(self.starts[row[a:b]] - (ends[a:b] - n), n) + np.arange(ends[a] - counts[a], ends[b - 1])
+            cell = np.repeat(word[hit[a:b]] - low, n) * len(self.landmarks) + self.owners[entry]
+            rows = word[hit[b - 1]] - low + 1
+            summed = np.bincount(cell, np.repeat(weight[hit[a:b]], n) * self.shares[entry], minlength=rows * len(self.landmarks))
+            out[low : low + rows] += summed.reshape(rows, -1)
+        out /= norm[:, None]
         out[out < self.floor] = 0
         found = out.any(axis=1)
         return near[found], out[found]
@@ -248,9 +255,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: in
 def covering(words: list[str]) -> list[str]:
     """The words without those that are close to an earlier one."""
     out: list[str] = []
-    at, values = Kernel(words, floor=0.0).values(words)
-    close = np.zeros((len(words), len(words)), bool)
-    close[at] = values >= COVERED
+    kernel, close = Kernel(words, floor=0.0), np.zeros((len(words), len(words)), bool)
+    for start in range(0, len(words), 256):
+        at, values = kernel.values(words[start : start + 256])
+        close[start + at] = values >= COVERED
     taken = np.zeros(len(words), bool)
     for i, word in enumerate(words):
         if not close[i, taken].any():
