@@ -57,6 +57,7 @@ def plain(word: str) -> str:
 class Kernel:
     """Normalised gap-weighted kernel between words and a list of landmarks."""
 
+    WORDS = 4096  # words looked up at once
     AT_ONCE = 1 << 18  # products summed at once
     TABLE = 1 << 24  # entries of the table of subsequences that landmarks have
 
@@ -140,6 +141,9 @@ class Kernel:
         none = np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         if not words or not self.landmarks:
             return none
+        if len(words) > self.WORDS:
+            parts = [(start, *self.values(words[start : start + self.WORDS])) for start in range(0, len(words), self.WORDS)]
+            return np.concatenate([start + at for start, at, _ in parts]), np.concatenate([v for _, _, v in parts])
         shared, own = self._shared(words)
         near = np.flatnonzero((shared >= self.floor**2 * own) & (shared > 0))
         if not len(near):
@@ -337,16 +341,21 @@ def disguised(word: str) -> list[str]:
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps; the last coefficient is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Linear machine with squared hinge loss by Newton steps, summed over blocks of rows; the last column of x is 1, for the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(50):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        a = x[on] * (weight[on] * cost)[:, None]
-        step = np.linalg.solve(ridge + a.T @ x[on], ridge @ w - a.T @ (y[on] * margin[on]))
+        bend, slope = ridge.copy(), ridge @ w
+        for i in range(0, len(x), 2048):
+            rows = x[i : i + 2048]
+            margin = 1 - y[i : i + 2048] * (rows @ w)
+            on = margin > 0
+            rows = rows[on]
+            a = rows * (weight[i : i + 2048][on] * cost)[:, None]
+            bend += a.T @ rows
+            slope -= a.T @ (y[i : i + 2048][on] * margin[on])
+        step = np.linalg.solve(bend, slope)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -411,7 +420,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE
         whiten[block, block] = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
     others = np.array([r["others"] for r in rows], float)
     at, altered = Kernel(landmarks).values([v for word in landmarks for v in disguised(word)])
-    x = np.vstack([*(powers(n) @ whiten for n in near), powers(altered) @ whiten, np.zeros((2, len(whiten)))])
+    x = np.ones((sum(map(len, near)) + len(at) + 2, len(whiten) + 1))  # one row a suspicious sentence, a disguised landmark, and two for all others
+    filled = 0
+    for block in (*near, *(altered[i : i + 2048] for i in range(0, len(altered), 2048))):
+        x[filled : filled + len(block), :-1] = powers(block) @ whiten
+        filled += len(block)
+    x[filled:, :-1] = 0
     of_sentence = np.repeat(y, [len(n) for n in near])
     sign = np.concatenate([2 * of_sentence - 1, np.ones(len(at)), [1.0, -1.0]])
     share = of_sentence.sum() / max(1, len(at))
