@@ -41,6 +41,12 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no hash of their own, count as JSON, and where nulls stand counts too."""
+    columns = [(F.col(f"`{f.name}`"), "map<" in f.dataType.simpleString()) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if mapped else c for c, mapped in columns], *[c.isNull() for c, _ in columns])
+
+
 def fold(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids have the remainder 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus, F.lit(0))

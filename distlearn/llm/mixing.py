@@ -9,12 +9,14 @@ documents before the cut, and of the one at the cut the words up to the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, whole_text
+from ..plans.lineage import discard
+from .common import WORD, row_hash, settle, whole_text
 
-DIGITS = 3  # hex digits of the key that name a range: 4096 ranges a source
+LEAST_DIGITS = 3  # hex digits of the key that name a range: 4096 ranges a source or more
+RANGE_ROWS = 1_000_000  # rows a range on average (all sources together), above which another digit is used
 MOST_EPOCHS = 3
 
 
@@ -50,39 +52,68 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def plan_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, size, source_size, target, taken (+ epochs and part: words of the last, cut epoch).
+def _key(seed: str) -> Column:
+    """The hash-random key of a document: of its doc_id, or of its text where that is null."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(whole_text().cast("binary"))))
+    return F.md5(F.concat(F.lit(seed), name).cast("binary"))
 
-    Null texts have size 0 and take nothing; a null source is one source of its own. Rows with one
-    doc_id share a key and follow each other; which of two equal rows comes first does not change
-    the result. An empty table gives an empty result. Other columns are not read.
+
+def _range_digits(rows: int) -> int:
+    """Leading hex digits of the key that name a range: RANGE_ROWS a range on average, or fewer."""
+    digits = LEAST_DIGITS
+    while rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def _placed(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, key, size, further columns) -> one row per different one, with its place in the mixture.
+
+    Adds ``n`` (how many rows are equal), source_size, target, ``epochs`` that all take whole, and ``rest``: the words
+    of the last, cut epoch that go to these n rows together. Equal rows are counted before they are sorted, so a
+    row that repeats often is one row here.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = settle(
-        docs.select("doc_id", "source", F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"), key.alias("_key"))
-        .withColumn("_range", F.substring("_key", 1, DIGITS)),
-        "sizes",
-    )
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null apart from every name
-    ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights)
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    digits = _range_digits(rows.count())  # of a written table: the counts of its files
+    further = [c for c in rows.columns if c not in ("source", "key", "size")]
+    equal = rows.groupBy("source", "key", "size", *further).agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.substring("key", 1, digits)).withColumn("named", named)
+    words = F.col("size") * F.col("n")
+    ranges = rows.groupBy("source", F.substring("key", 1, digits).alias("range")).agg(F.sum("size").alias("words"))
+    targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+    earlier = Window.partitionBy("named").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranges.withColumn("_source", named)
-        .withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
-        .select("_source", "_range", "_start")
-        .join(targets.withColumn("_source", named).drop("source"), "_source")
+        ranges.withColumn("named", named)
+        .withColumn("start", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .select("named", "range", "start")
+        .join(targets.withColumnRenamed("rest", "budget").withColumn("named", named).drop("source"), "named")
     )
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_before")))
+    inside = Window.partitionBy("named", "range").orderBy("key", "size", *further).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.col("inside")
     return (
-        sized.withColumn("_source", named)
-        .withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, ["_source", "_range"])
-        .withColumn("_before", F.col("_start") + F.col("_inside"))
+        equal.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
+        .join(starts, ["named", "range"])
+        .withColumn("rest", F.greatest(F.lit(0), F.least(words, F.col("budget") - before)).cast("long"))
+        .withColumn("epochs", F.col("epochs").cast("int"))
+        .select("source", "named", "key", "size", *further, "n", "source_size", "target", "epochs", "rest")
+    )
+
+
+def plan_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, size, source_size, target, taken (+ epochs and part: words of the last, cut epoch).
+
+    Null texts have size 0 and take nothing; a null source is one source of its own. Rows with one
+    doc_id share a key and follow each other; rows with a null doc_id have the key of their text. Which of two
+    equal rows comes first does not change the result. An empty table gives an empty result. Other columns are not read.
+    """
+    sized = settle(docs.select("doc_id", "source", _key(seed).alias("key"), F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size")), "sizes")
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("number") - 1) * F.col("size")))
+    return (
+        _placed(sized, weights)
+        .withColumn("number", number)
         .withColumn("part", part.cast("long"))
         .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "taken", F.col("epochs").cast("int").alias("epochs"), "part")
+        .select("doc_id", "size", "source_size", "target", "taken", "epochs", "part")
     )
 
 
@@ -91,16 +122,36 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
 
     A document without words is kept once (it costs nothing). The document at the cut of a source
     appears in the last epoch with its first words up to the budget, joined by one space; all
-    others are whole. Rows that share a doc_id are taken alike.
+    others are whole. Every row is taken for itself, by its own source and size, also where doc_ids are shared or null;
+    so the words of the mixture are ``taken`` of ``plan_mix`` in every source. Of rows equal in all
+    columns as many are taken as the budget allows. An empty table gives an empty one; columns may have any name and type.
     """
-    plan = plan_mix(docs, seed, weights).groupBy(F.col("doc_id").alias("id")).agg(
-        F.max("size").alias("size"), F.max("epochs").alias("epochs"), F.max("part").alias("part")
+    words = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(seed).alias("key"), F.col("source").alias("source"), words.alias("size"), row_hash(docs).alias("tie")
     )
-    rows = docs.select(F.col("doc_id").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    met = rows.join(plan, rows["own"].eqNullSafe(plan["id"]))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
-    taken = met.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    sized = settle(rows.drop("row"), "sizes")
+    plan = settle(_placed(sized, weights).select("named", "key", "size", "tie", "n", "epochs", "rest"), "places")
+    discard(sized)
+    by = ["named", "key", "size", "tie"]
+    met = rows.withColumn("named", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source").join(plan, by)
+    # equal rows that the cut goes through: all take the whole epochs, one of them stands for what the last epoch takes
+    through = (F.col("n") > 1) & (F.col("rest") > 0) & (F.col("rest") < F.col("n") * F.col("size"))
+    last = F.when(through | (F.col("rest") == 0), 0).otherwise(1)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + last)
+    cut = (F.col("n") == 1) & (F.col("rest") < F.col("size")) & (F.col("copy") > F.col("epochs"))
+    out = _copied(met, copies, cut, F.col("rest"), docs.columns)
+    if not plan.where(through).isEmpty():
+        whole = F.floor(F.col("rest") / F.col("size"))
+        left = F.col("rest") - whole * F.col("size")
+        one = met.where(through).groupBy(*by, "rest").agg(F.first("row").alias("row"))  # equal rows, so any of them
+        out = out.unionByName(_copied(one, whole + F.when(left > 0, 1).otherwise(0), F.col("copy") > whole, left, docs.columns))
+    return out
+
+
+def _copied(rows: DataFrame, copies: Column, cut: Column, part: Column, columns: list[str]) -> DataFrame:
+    """``copies`` of each row; where ``cut`` is true (of the number ``copy``) with its first ``part`` words only."""
+    taken = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
-    cut = (F.col("part") < F.col("size")) & (F.col("copy") > F.col("epochs"))
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
-    return taken.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    text = F.when(cut, F.array_join(F.slice(words, 1, part.cast("int")), " ")).otherwise(F.col("row.text"))
+    return taken.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])

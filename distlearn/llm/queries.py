@@ -119,7 +119,7 @@ def vector_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))) AS k
   FROM documents),
 sources AS (SELECT source, sum(size) AS n FROM sized GROUP BY source),
 weighted AS (

@@ -219,6 +219,33 @@ def test_mix_takes_the_plan(spark):
     assert all(abs(n - target) <= 0.5 for (_, target), n in by_source.items())
 
 
+def test_mix_counts_every_row_for_itself(spark):
+    draw = random.Random(9)
+    docs = []
+    for i in range(300):
+        words = " ".join(f"w{draw.randint(0, 99)}" for _ in range(draw.randint(0, 40)))
+        docs.append((draw.choice([None, 1, 2, 1000 + i]), draw.choice(["a", "b", "c", None]), draw.choice([words, None, "the same text"]), {"k": i % 3}))
+    docs += [(7, "d", "one two three four five", None)] * 40 + [(None, "e", "six seven eight", None)] * 30  # the cut goes through equal rows
+    table = spark.createDataFrame(docs, "doc_id long, source string, text string, n map<string,int>").withColumns({c: F.lit("x") for c in ("key", "size", "tie", "rest", "named", "copy", "row")})
+    want, taken = defaultdict(int), defaultdict(int)
+    plan = mixing.plan_mix(table).collect()
+    sizes = {}
+    for doc, source, text, _ in docs:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    assert len(plan) == len(docs) and len(set(sizes.values())) == len(sizes)
+    of = {n: s for s, n in sizes.items()}
+    for r in plan:
+        want[of[r["source_size"]]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    mixed = mixing.mix(table)
+    assert mixed.columns == table.columns
+    for r in mixed.collect():
+        taken[r["source"]] += len((r["text"] or "").split())
+    assert {s: n for s, n in taken.items() if n} == {s: n for s, n in want.items() if n} and any(0 < want[s] % sizes[s] for s in "de")
+    targets = {of[r["source_size"]]: r["target"] for r in plan}
+    assert all(abs(want[s] - targets[s]) <= 0.5 for s in sizes)
+
+
 def test_mix_targets(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 10), (None, 1000), ("c", 5)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
