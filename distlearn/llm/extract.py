@@ -5,7 +5,8 @@ weight learned from pages that mark their article themselves (article or main el
 how much more often the kind stands inside the mark than outside, held positive for words and negative
 for tags. One linear scan finds the stretch with the largest sum. Elements that are never part of an
 article (navigation, adverts, forms, scripts, comments by readers ...) are one tag to the scan and leave
-no text.
+no text. Where only a class, an id or a role says so, and the element holds the page's article nevertheless, it
+stays (see ``events``).
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 4_000  # about so many pages, drawn by a hash of the id, teach the weights
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*)>|</?[a-zA-Z!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_WHOLE = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|button)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>"
+_TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(%s)>|(<(?:/?[a-zA-Z]|[!?]))"  # the last group: a tag without an end
+# a quote opens a value right after "=" only; a value may have any length and hold ">"
+_QUOTED = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+"""
+TOKEN = re.compile(f"{_WHOLE}|{_TAG % _QUOTED}", re.S | re.I)
+PLAIN = re.compile(f"{_WHOLE}|{_TAG % '[^>]*+'}", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,52 +45,103 @@ HINTS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus respond reply replies share sharing "
     "social related recommended recommendations newsletter subscribe signup login search widget toolbar pagination pager copyright disclaimer alert".split()
 )
+DENIED = frozenset("no non not has have with without".split())  # before a hint: the element is about it, not it
+WRAPS = frozenset("form fieldset".split())  # some pages put all they have into one
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 WORD, TAG = "word ", "tag "
 WORD_RANGE, TAG_RANGE = (0.05, 2.0), (-2.0, -0.05)
 SKIPPED = TAG + "skipped"
+OPENED = 50  # elements with a hint, one around the other, that hold the article: more of them tell nothing
 
 
-def is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """True for elements that hold no article text, by their name, role, class or id."""
-    if name in NEVER or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    if name in ("html", "body") or name in MARKS:
-        return False
-    for kind, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if kind.lower() == "role":
-            if value.lower() in ROLES:
+def attributes_of(written: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(written):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def hinted(value: str) -> bool:
+    """True if a class or id names something beside the article; "no-comments" and "has-sidebar" don't."""
+    for name in value.split():
+        before = ""
+        for part in map(str.lower, PARTS.findall(name)):
+            if part in HINTS and before not in DENIED:
                 return True
-        elif not HINTS.isdisjoint(p.lower() for p in PARTS.findall(value)):
-            return True
+            before = part
     return False
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, starts a new block, inside a mark) for each tag, skipped element and text.
+def boilerplate(name: str, written: str, in_article: bool) -> str:
+    """"never" for elements that hold no article text by their name or because they are hidden, "hint" for those that likely hold none.
 
-    Tags have no text. Within a skipped element nothing is reported; it ends at its end tag, and an
-    article or main element ends it too, so a missing end tag cannot swallow the page.
+    Hints are the role, class and id, and forms; ``events`` opens an element with a hint that holds the article after all.
     """
-    skip, depth, marked, block, at, breaks = "", 0, 0, "body", 0, True
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            yield WORD + block, page[at : m.start()], breaks, marked > 0
-            breaks = False
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:  # a comment, a script, a declaration
-            if m[1] and m[1].lower() in ("select", "textarea", "iframe", "object"):
+    if name in WRAPS:
+        return "hint"
+    if name in NEVER or (name == "header" and not in_article):
+        return "never"
+    if not written:
+        return ""
+    found = attributes_of(written)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or NO_DISPLAY.search(found.get("style", "")):
+        return "never"
+    if name in ("html", "body") or name in MARKS:
+        return ""
+    if found.get("role", "").lower() in ROLES or hinted(found.get("class", "")) or hinted(found.get("id", "")):
+        return "hint"
+    return ""
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(name, closing, attributes, text): tags have a name, texts have none; scripts, comments and declarations are "!".
+
+    Time grows with the length of the page. From a tag on whose quoted value never ends, quotes are characters
+    like others; from a tag on that never ends, the rest is text.
+    """
+    at, pattern, start = 0, TOKEN, 0
+    while m := pattern.search(page, start):
+        if m[5] is not None:  # no end of this tag
+            if pattern is PLAIN:
+                break
+            pattern, start = PLAIN, m.start()
+            continue
+        if m.start() > at:
+            yield "", False, "", page[at : m.start()]
+        at = start = m.end()
+        if m[3]:
+            yield m[3].lower(), bool(m[2]), m[4], ""
+        else:
+            yield "!", False, m[1].lower() if m[1] else "", ""
+    if at < len(page):
+        yield "", False, "", page[at:]
+
+
+def _outline(page: str, opened: frozenset[int], trusting: bool = True) -> tuple[list[tuple[str, str, bool, bool]], dict[int, list[int]]]:
+    """Events of a page, and what was skipped by a hint: token -> [words, of headings h1].
+
+    Tokens in ``opened`` are not skipped, and no hint counts unless ``trusting``.
+    """
+    out: list[tuple[str, str, bool, bool]] = []
+    held: dict[int, list[int]] = {}
+    skip, depth, marked, block, breaks, since = "", 0, 0, "body", True, -1
+    for at, (name, closing, written, text) in enumerate(tokens(page)):
+        if not name:
+            if not skip:
+                out.append((WORD + block, text, breaks, marked > 0))
+                breaks = False
+            elif since in held:
+                held[since][0] += len(text.split())
+            continue
+        if name == "!":
+            if written in ("select", "textarea", "iframe", "object"):
                 breaks = True
             continue
-        closing = bool(m[2])
         if skip:
+            if name == "h1" and not closing and since in held:
+                held[since][1] += 1
             if name in MARKS or name == "body":
                 skip = ""
             elif name == skip:
@@ -100,24 +153,51 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 skip = ""
             else:
                 continue
-        if not closing and name not in VOID and is_boilerplate(name, m[4], marked > 0):
-            skip, depth, breaks = name, 1, breaks or name not in INLINE
-            yield SKIPPED, "", breaks, marked > 0
-            continue
+        if not closing and name not in VOID and at not in opened:
+            why = boilerplate(name, written, marked > 0)
+            if why == "never" or (why and trusting):
+                skip, depth, breaks, since = name, 1, breaks or name not in INLINE, at
+                if why == "hint":
+                    held[at] = [0, 0]
+                out.append((SKIPPED, "", breaks, marked > 0))
+                continue
         if name in MARKS:
             marked = max(0, marked + (-1 if closing else 1))
         if name not in INLINE:
             breaks = True
             if name not in VOID:
                 block = "body" if closing else (name if name in KNOWN else "other")
-        yield TAG + (name if name in KNOWN else "other"), "", breaks, marked > 0
-    if at < len(page) and not skip:
-        yield WORD + block, page[at:], breaks, marked > 0
+        out.append((TAG + (name if name in KNOWN else "other"), "", breaks, marked > 0))
+    return out, held
+
+
+def events(page: str) -> list[tuple[str, str, bool, bool]]:
+    """(kind, text, starts a new block, inside a mark) for each tag, skipped element and text.
+
+    Tags have no text. Within a skipped element nothing is reported; it ends at its end tag, and an
+    article or main element ends it too, so a missing end tag cannot swallow the page. An element skipped by a hint
+    is opened if it holds more words than all that is left and either the page's first-level heading, where nothing
+    left has one, or all words there are. Each time one is opened the page is read again; on a page that has OPENED of
+    them around each other no hint counts any more.
+    """
+    opened: frozenset[int] = frozenset()
+    while True:
+        out, held = _outline(page, opened)
+        if not held:
+            return out
+        at = max(held, key=lambda i: (held[i][0], -i))
+        words, headings = held[at]
+        left = sum(len(e[1].split()) for e in out)
+        if words <= left or (left and not (headings and all(e[0] != TAG + "h1" for e in out))):
+            return out
+        if len(opened) == OPENED:
+            return _outline(page, opened, False)[0]
+        opened |= {at}
 
 
 def count_kinds(page: str, inside: Counter, outside: Counter) -> None:
     """Add a page that marks its article: how often each kind stands in and out of the mark."""
-    found = list(events(page))
+    found = events(page)
     if not any(marked for *_, marked in found):
         return
     for kind, text, _, marked in found:

@@ -345,6 +345,44 @@ def test_main_text():
         assert extract.main_text(PAGE % (tag, tag), weights) == want, tag
 
 
+LONG = 1_000_000
+ARTICLE = "<h1>Head</h1><p>one two three four five six</p><p>seven eight nine ten</p>"
+ODD_PAGES = {
+    "a long attribute": '<nav data-x="' + "y" * LONG + f'">menu here</nav>{ARTICLE}',
+    "ends of tags in values": f'<nav data-x="a > b">menu</nav><p data-y=\'c > d\'></p>{ARTICLE}',
+    "a stray quote": f'<p title="5" disk">{ARTICLE}',
+    "a word in another attribute": f'<div data-id="ads" title="class=sidebar hidden">{ARTICLE}</div>',
+    "a layout with a sidebar": f'<body><nav>menu</nav><div class="layout has-sidebar">{ARTICLE}</div><footer>foot</footer></body>',
+    "no comments": f'<div class="content no-comments">{ARTICLE}</div>',
+    "a result of a search": f'<nav>menu</nav><div id="article-search-result">{ARTICLE}</div><div class="comments"><p>I see</p></div>',
+    "a form around all": f'<form id="all"><div class="ad">Buy</div>{ARTICLE}</form>',
+    "long comments": ARTICLE + '<div class="comments">' + "<p>no I do not agree</p>" * 50 + "</div>",
+    "many wrappers": '<div class="sidebar">' * 200 + ARTICLE,
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_main_text_of_odd_pages(name):
+    assert extract.main_text(ODD_PAGES[name], {}) == "Head one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("part", ['<a "> " ', '<a x="> " ', "<a ", '<a x="', "<script ", "<!--", "<p x='", '<div class="ad">', "= ", "</ ", "<? ", "<!", "&", "<a b>", "<form>"])
+def test_main_text_takes_linear_time(part):
+    import time
+
+    started = time.process_time()
+    for page in (part * (LONG // 4 // len(part)), "<a " + part * (LONG // 4 // len(part))):
+        extract.main_text(page, {})
+    assert time.process_time() - started < 20
+
+
+def test_text_of_unended_tags():
+    assert extract.main_text("five <b and six", {}) == "five <b and six"
+    assert extract.main_text('<p>a</p><p title="5>b is c</p>', {}) == "a b is c"
+    assert extract.main_text("<p>a <!-- b", {}) == "a"
+    assert extract.main_text("<p>3 < 4 > 2 </3", {}) == "3 < 4 > 2 </3"
+
+
 def test_best_stretch():
     draw = random.Random(8)
     for _ in range(300):
