@@ -162,7 +162,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Da
     chosen = settle(chosen_phrases(named, window, phrase), "phrases")
     # tables on their own, here and below: a join of plain exchanges is one whose hot keys Spark can split
     recurring = settle(chosen.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase"), "recurring")
-    lists = chosen.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"))  # no longer than the text
+    lists = chosen.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))  # once each, also where rows repeat
     lists = settle(lists, "lists")
     met = named.select("doc_id", whole_text().alias("text")).join(lists, "doc_id")
     met = met.select("doc_id", F.xxhash64("text").alias("copy"), "text", "phrases")
@@ -226,7 +226,7 @@ def covered(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Data
     shared = single.groupBy("phrase", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     shared = settle(shared, "shared")
     apart = single.join(shared, ["phrase", "print"]).where("least < doc_id").select("doc_id", "copy", "start", (F.col("start") + window).alias("end"))
-    spans = F.collect_list(F.struct("start", "end")).alias("spans")  # no more than the text has words
+    spans = F.collect_set(F.struct("start", "end")).alias("spans")  # no more than the text has words, also where rows repeat
     out = settle(whole.unionByName(apart).groupBy("doc_id", "copy").agg(spans), "covered")
     discard(found, kinds, mixed_phrases, single, shared)
     return out
