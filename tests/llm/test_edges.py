@@ -115,3 +115,14 @@ def test_stages_keep_the_columns(spark, docs, labels, tmp_path):
             assert out.columns == docs.columns, name
             out.count()
         assert corpus_pipeline.to_tokens(spark, table, str(tmp_path)).count() == table.count()
+
+
+def test_repeated_rows_keep_their_spans_once(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    spans = {}
+    for n in (1, 40):
+        rows = spark.createDataFrame([(1, text), *[(2, "before " + text)] * n], "doc_id long, text string")
+        spans[n] = [len(r["spans"]) for r in passages.covered(rows).collect()]
+        got = [tuple(r) for r in passages.remove_repeats(rows).select("doc_id", "n_removed", "kept").collect()]
+        assert sorted(got) == [(1, 0, text), *[(2, 300, "before")] * n]
+    assert spans[1] == spans[40]
