@@ -160,10 +160,6 @@ class TSNE(_MapLearner):
         rate = max(n / boost / 2.0, 1.0) if rate == "auto" else rate
         early = epochs // 2
 
-        def repel(grid, epoch):
-            z = max(grid.pair_total(lambda s: 1.0 / (1.0 + s)), 1e-12)
-            return lambda y: grid.push(y, lambda s: 1.0 / (1.0 + s) ** 2) / z
-
         def advance(epoch, pull, push, speed):
             factor, momentum = (boost, 0.5) if epoch < early else (1.0, 0.8)
             out = []
@@ -174,7 +170,7 @@ class TSNE(_MapLearner):
 
         positions = run_layout(
             edges, self._start(df, 1.0), self.setting("n_components"), epochs,
-            lambda d2: F.lit(1.0) / (d2 + 1.0), repel, advance,
+            lambda d2: F.lit(1.0) / (d2 + 1.0), lambda s: 1.0 / (1.0 + s) ** 2, lambda s: 1.0 / (1.0 + s), 1.0, advance,
         )
         self.model_ = self._give(TSNEModel({}, {"positions": positions}))
         return self.model_.transform(df)
@@ -257,12 +253,9 @@ class UMAP(_MapLearner):
             return F.least(F.lit(2.0 * a * b) * F.pow(d2, F.lit(b - 1.0)) / (F.lit(1.0) + F.lit(a) * F.pow(d2, F.lit(b))),
                            F.lit(4.0) / F.sqrt(d2))
 
-        def repel(grid, epoch):
-            def force(s):
-                s = np.maximum(s, 1e-12)
-                return np.minimum(2.0 * b / ((0.001 + s) * (1.0 + a * s**b)), 4.0 / np.sqrt(s))
-
-            return lambda y: grid.push(y, force) * (negatives * mean_strength / max(n - 1, 1))
+        def force(s):
+            s = np.maximum(s, 1e-12)
+            return np.minimum(2.0 * b / ((0.001 + s) * (1.0 + a * s**b)), 4.0 / np.sqrt(s))
 
         def advance(epoch, pull, push, speed):
             # a step against the mean force of a node's edges cannot overshoot like their sum
@@ -271,7 +264,8 @@ class UMAP(_MapLearner):
             return [(F.least(F.greatest(m, F.lit(-4.0)), F.lit(4.0)), v) for m, v in zip(moves, speed)]
 
         positions = run_layout(
-            edges, self._start(df, 3.0), self.setting("n_components"), epochs, attract, repel, advance
+            edges, self._start(df, 3.0), self.setting("n_components"), epochs, attract, force, None,
+            negatives * mean_strength / max(n - 1, 1), advance,
         )
         return UMAPModel(dict(finder.state), {"positions": positions, "points": finder.tables["points"], "nodes": finder.tables["nodes"]})
 
