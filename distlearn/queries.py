@@ -386,7 +386,7 @@ def sgd_classifier_minibatch(spark, folder):
     rows = _flagged(_scaled_part(spark, folder, *TWO))
     rows_per_step = max(1, rows.count() // 4)
     model = MBSGDClassifier(
-        features_col="scaled", label_col="high", id_col="p_partkey", loss="log", batch_size=rows_per_step, epochs=4
+        features_col="scaled", label_col="high", id_col="p_partkey", loss="log", batch_size=rows_per_step
     ).fit(rows)
     return model.predict(rows).select("p_partkey", "high", "prediction")
 

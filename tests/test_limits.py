@@ -132,3 +132,17 @@ def test_neighbour_probabilities(spark):
     model = dl.KNeighborsClassifier(n_neighbors=3, output_col="p").fit(df)
     row = model.predict_proba(df.where("id = 0")).head()
     assert np.allclose(row["p"], [2 / 3, 1 / 3, 0])
+
+
+def test_wide_directions_meet_their_residual_or_raise(spark, monkeypatch):
+    """Uniform rows have a flat spectrum, where neighbouring directions are hard to tell apart."""
+    monkeypatch.setattr(gram, "BASIS_NUMBERS", 300 * 100)  # restarts after five blocks
+    df = make_gaussian(800, 300, kind="uniform", spark=spark).cache()
+    x = np.array([r["features"] for r in df.select("features").collect()])
+    mean = x.mean(axis=0)
+    scatter = (x - mean).T @ (x - mean)
+    values, vectors = gram.leading_subspace(df, F.col("features"), 300, 10, mean)
+    assert np.linalg.norm(scatter @ vectors.T - vectors.T * values, axis=0).max() <= 1e-6 * values[0]
+    assert np.allclose(values, np.linalg.eigvalsh(scatter)[::-1][:10], rtol=1e-9)
+    with pytest.raises(ValueError, match="residual"):
+        gram.leading_subspace(df, F.col("features"), 300, 10, mean, passes=2)
