@@ -4,20 +4,18 @@ P(w | h) = a * c(h, w) / c(h) + b * c(w) / N + (1 - a - b) / (V + 1)
 
 The weights a, b depend on how often the history h was seen (buckets of powers of two). They are
 learned by expectation-maximisation on documents whose counts are left out ("deleted"); the final
-counts are those of all training documents. The history is the class of the word before: words are
-hashed to 2^16 classes, so a frequent word is practically a class of its own, the model is a proper
-distribution, and the totals c(h) have a fixed size (they are the one table all tasks get).
-
-Layout: documents are taken in chunks, and a chunk's tokens, sorted by word, are cut into as many
-packed parts as the corpus needs. One shuffle brings each part together, where c(w) and c(h, w) of its
-words are complete, and each token is scored in the same place; only sums per document travel back.
-A very frequent word is spread over all parts by its history; the counts of these few words are summed
-up front. Counts therefore cover all training documents, and no task holds more than one part.
+counts are those of all training documents. The history is the word before itself; the end of a text
+stands before its first word, so every token is a history once and c(h) is the count of the word h.
+Words and pairs of words are known by 64-bit hashes; nothing of their number is bounded.
+
+Layout: documents are taken in chunks. A chunk sends its distinct words and pairs with their counts to
+the parts of the corpus, which are ranges of the hashes; a part adds up what all chunks sent and sends each
+chunk the totals of what it asked for. A word or pair is one record a chunk, however frequent it is,
+so no part is hot. The chunk then has all counts of its own tokens and scores its documents whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +29,13 @@ from pyspark.sql import functions as F
 from ..plans.lineage import discard
 from .common import each_key, settle
 
-CLASSES = 1 << 16  # of histories
 CHUNK_TOKENS = 2_000_000
-CHUNK_DOCS = 60_000  # document numbers in a chunk have 16 bits
+CHUNK_DOCS = 60_000
+TOKENS_AT_ONCE = 1 << 18  # whose probabilities are held
 PART_BYTES = 32 << 20  # of text per part
 LEAST_PARTS = 8
-SPREAD = 4  # partitions of a shuffle for each part, so that few parts share a task
-FREQUENT = 2_000  # a word is frequent from this share (1 / FREQUENT) of the tokens on
-SAMPLE_DOCS = 2_000  # documents that show which words are frequent; this decides where rows go, no result
+FREQUENT = 2_000  # words from this share (1 / FREQUENT) of a chunk on have its smallest numbers, which pack well
 HELD_BACK = 10  # one in so many training documents is left out to learn the weights
-BASE_UNIT, SCORE_UNIT = 1e10, 1e8  # sums per document travel as whole numbers of 1 / unit: small, and in any order the same
 STEP = 0.02  # of the logarithms of probabilities that the weights are learned from
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # end of a text, and the history of its first word
 TEST, COUNTED, DELETED = 0, 1, 2  # roles of documents
@@ -55,11 +50,17 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
-def history_class(words: np.ndarray) -> np.ndarray:
-    """Class of the word before each token of a text; the end stands before the first."""
-    before = np.empty_like(words)
-    before[0], before[1:] = END, words[:-1]
-    return ((before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+def before(values: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The value of the token before each token of texts of these lengths; ``first`` stands before a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[np.cumsum(lengths) - lengths] = first
+    return out
+
+
+def pairs_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each token's word and the word before it."""
+    return before(words, lengths, END) * np.uint64(0x9E3779B97F4A7C15) + words
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -72,132 +73,114 @@ def unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def spread_of(words: np.ndarray, classes: np.ndarray, parts: int) -> np.ndarray:
-    """Part of a frequent word's token: by word and history."""
-    mixed = (words ^ (classes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+FIELDS = "kind int, chunk long, part int, " + ", ".join(f"p{i} binary" for i in range(6)) + ", " + ", ".join(f"n{i} long" for i in range(4))
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+TEXTS, ASKED, TOTALS, SUMS, ESTIMATE, COUNTS = range(6)  # kinds of rows
 
 
-def cut(words: np.ndarray, classes: np.ndarray, docs: np.ndarray, parts: int, frequent: np.ndarray):
-    """(part, words, records of each word, classes, documents) of a chunk's tokens.
+def row(kind: int, chunk: int = -1, part: int = -1, packed: tuple = (), numbers: tuple = ()) -> pa.RecordBatch:
+    values = [kind, chunk, part, *packed, *[None] * (6 - len(packed)), *numbers, *[None] * (4 - len(numbers))]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], NAMES)
 
-    Words other than the frequent ones go by ranges of their hash.
-    """
-    hot = np.isin(words, frequent)
-    width = (1 << 64) // parts + 1
-    edges = np.array([i * width for i in range(1, parts)], np.uint64)
-    places = [(int(p), hot & (at == p)) for at in [np.where(hot, spread_of(words, classes, parts), -1)] for p in np.unique(at[hot])]
-    names, number = np.unique(words[~hot], return_inverse=True)
-    key = (number.astype(np.uint64) << np.uint64(32)) | (classes[~hot].astype(np.uint64) << np.uint64(16)) | docs[~hot].astype(np.uint64)
-    key.sort()
-    number = (key >> np.uint64(32)).astype(np.int64)
-    starts = np.searchsorted(names, edges)  # of parts among the names
-    name_ends, record_ends = [0, *starts, len(names)], [0, *np.searchsorted(number, starts), len(key)]
-    for part in range(parts):
-        a, b = name_ends[part], name_ends[part + 1]
-        own = key[record_ends[part] : record_ends[part + 1]]
-        if len(own):
-            reps = np.bincount((own >> np.uint64(32)).astype(np.int64) - a, minlength=b - a)
-            yield part, names[a:b], reps, (own >> np.uint64(16)).astype(np.uint16), own.astype(np.uint16)
-    for part, chosen in places:
-        order = np.lexsort((docs[chosen], classes[chosen], words[chosen]))
-        own, reps = np.unique(words[chosen], return_counts=True)
-        yield part, own, reps, classes[chosen][order], docs[chosen][order].astype(np.uint16)
-
-
-FIELDS = "kind int, part int, chunk long, words binary, reps binary, classes binary, docs binary, roles binary"
-TOKENS, TOTALS, LIST = 0, 1, 2  # kinds of rows
-
-
-def chunk_rows(chunk: int, ids: list, roles: list[int], texts: list[np.ndarray], parts: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of one chunk: its tokens by part, its totals by history and frequent word, its documents."""
-    lengths = [len(t) for t in texts]
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def tallies(number: np.ndarray, of_token: np.ndarray, distinct: int) -> np.ndarray:
+    """How often each number stands in counted and in deleted documents."""
+    return np.stack([np.bincount(number[of_token == r], minlength=distinct) for r in (COUNTED, DELETED)]).astype(np.int64)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def text_row(chunk: int, ids: list, roles: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+    """The texts of one chunk as numbers of words."""
     words = np.concatenate(texts)
-    classes = np.concatenate([history_class(t) for t in texts])
-    docs = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
-    role = np.array(roles, np.uint8)
-    packed_roles = pack(role)
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-
-    def row(kind: int, part: int, *columns: bytes) -> pa.RecordBatch:
-        values = [kind, part, chunk, *columns, *([b""] * (4 - len(columns))), packed_roles]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
-
-    for part, own, reps, cls, doc in cut(words, classes, docs, parts, frequent):
-        yield row(TOKENS, part, pack(np.diff(own, prepend=np.uint64(0))), pack(reps.astype(np.uint32)), pack(cls), pack(doc))
-    of_token = role[docs]
-    totals = np.stack([np.bincount(classes[of_token == r], minlength=CLASSES) for r in (COUNTED, DELETED)]).astype(np.int64)
-    seen = np.flatnonzero(totals.any(axis=0))
-    at = np.searchsorted(frequent, words)
-    hot = (at < len(frequent)) & (frequent[np.minimum(at, max(0, len(frequent) - 1))] == words) if len(frequent) else np.zeros(len(words), bool)
-    by_word = np.stack([np.bincount(at[hot & (of_token == r)], minlength=max(1, len(frequent))) for r in (COUNTED, DELETED)]).astype(np.int64)
-    yield row(TOTALS, chunk % parts, pack(seen.astype(np.uint32)), pack(totals[:, seen].ravel()), pack(by_word.ravel()))
-    known = [0 if i is None else i for i in ids]
-    missing = np.array([i is None for i in ids], np.uint8)
-    yield row(LIST, chunk % parts, pack(np.array(known, np.int64)), pack(np.array(lengths, np.int64)), pack(missing))
-
-
-def frequent_words(docs: DataFrame, count: int) -> np.ndarray:
-    """Hashes of words with a share of 1 / FREQUENT or more in a hash sample: FREQUENT words at most."""
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // SAMPLE_DOCS))) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                names, n = np.unique(tokens(text.as_py()), return_counts=True)
-                counts.update(dict(zip(names.view(np.int64).tolist(), n.tolist())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-
-    words = settle(drawn.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
-    total = words.agg(F.sum("n")).head()[0] or 0
-    rows = words.where(F.col("n") * FREQUENT >= total).collect()
-    discard(words)
-    return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
-
-
-class Part:
-    """Counts of the words of one part."""
-
-    def __init__(self, group: pa.Table, roles: tuple[int, ...], frequent: np.ndarray, frequent_counts: np.ndarray):
-        """``roles``: the documents that count. ``frequent_counts``: counts of the frequent words."""
-        self.group = group
-        names = [np.zeros(0, np.uint64)]
-        for i in range(group.num_rows):
-            names.append(self._words(i))
-        self.names = np.unique(np.concatenate(names))
-        self.words = np.zeros(len(self.names), np.int64)
-        pairs = [np.zeros(0, np.int64)]
-        for i in range(group.num_rows):
-            number, cls, doc, role = self.records(i)
-            counts = np.isin(role[doc], roles)
-            self.words += np.bincount(number[counts], minlength=len(self.names))
-            pairs.append((number[counts] << 16) | cls[counts])
-        self.pairs, self.pair_counts = np.unique(np.concatenate(pairs), return_counts=True)
-        at = np.searchsorted(self.names, frequent)
-        here = (at < len(self.names)) & (self.names[np.minimum(at, max(0, len(self.names) - 1))] == frequent) if len(self.names) else np.zeros(len(frequent), bool)
-        self.distinct = int((self.words > 0).sum()) - int((self.words[at[here]] > 0).sum())  # without frequent ones
-        self.words[at[here]] = frequent_counts[here]
-
-    def _column(self, name: str, i: int, kind: type) -> np.ndarray:
-        return unpack(self.group.column(name)[i].as_py(), kind)
-
-    def _words(self, i: int) -> np.ndarray:
-        return np.cumsum(self._column("words", i, np.uint64), dtype=np.uint64)
-
-    def records(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers, history classes, documents of the tokens in row i, and the documents' roles."""
-        number = np.repeat(np.searchsorted(self.names, self._words(i)), self._column("reps", i, np.uint32))
-        return number, self._column("classes", i, np.uint16).astype(np.int64), self._column("docs", i, np.uint16), self._column("roles", i, np.uint8)
-
-    def seen(self, number: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """c(h, w) of each token."""
-        key = (number << 16) | cls
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        if not len(self.pairs):
-            return np.zeros(len(key), np.int64)
-        return np.where(self.pairs[at] == key, self.pair_counts[at], 0)
+    names, number, n = np.unique(words, return_inverse=True, return_counts=True)
+    often = n * FREQUENT >= len(words)
+    order = np.concatenate([np.flatnonzero(often)[np.argsort(-n[often], kind="stable")], np.flatnonzero(~often)])
+    rank = np.empty(len(names), np.uint32)
+    rank[order] = np.arange(len(names))
+    known, missing = np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8)
+    columns = known, missing, np.array([len(t) for t in texts], np.int64), np.array(roles, np.uint8)
+    return row(TEXTS, chunk, packed=(*map(pack, columns), pack_sorted(names[order]), pack(rank[number])))
+
+
+class Chunk:
+    """The texts of one chunk again, by sorted words and pairs."""
+
+    def __init__(self, texts: dict):
+        self.lengths, self.role = unpack(texts["p2"], np.int64), unpack(texts["p3"], np.uint8)
+        names, stream = unpack_sorted(texts["p4"]), unpack(texts["p5"], np.uint32)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.uint32)
+        rank[order] = np.arange(len(names))
+        self.names, self.word = names[order], rank[stream]  # distinct words; of each token the place of its word
+        self.pairs, self.pair = np.unique(pairs_of(names[stream], self.lengths), return_inverse=True)
+
+    def asked(self, chunk: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """Rows of what the chunk asks of each part, with its own counts."""
+        of_token = np.repeat(self.role, self.lengths)
+        own = [(keys, tallies(number, of_token, len(keys))) for keys, number in ((self.names, self.word), (self.pairs, self.pair))]
+        width = (1 << 64) // parts + 1
+        edges = np.array([i * width for i in range(1, parts)], np.uint64)
+        ends = [[0, *np.searchsorted(keys, edges), len(keys)] for keys, _ in own]
+        for part in range(parts):
+            cuts = [slice(e[part], e[part + 1]) for e in ends]
+            if any(c.start < c.stop for c in cuts):
+                yield row(ASKED, chunk, part, tuple(p for (keys, counts), c in zip(own, cuts) for p in (pack_sorted(keys[c]), pack(counts[:, c].ravel()))))
+
+
+def part_rows(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of one part: for each chunk the totals of the words and pairs it asked for; the part's distinct words and tokens."""
+    answers = [[] for _ in range(group.num_rows)]
+    for at in (0, 2):  # words, then pairs
+        keys = [unpack_sorted(k.as_py()) for k in group.column(f"p{at}")]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        names, number = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sent = [unpack(c.as_py(), np.int64).reshape(2, -1) for c in group.column(f"p{at + 1}")]
+        totals = [np.bincount(number, np.concatenate([c[i] for c in sent]), minlength=len(names)).astype(np.int64) for i in (0, 1)]
+        del sent
+        for answer, own in zip(answers, np.split(number, ends)):
+            answer.extend(pack(t[own]) for t in totals)
+        if at == 0:
+            yield row(COUNTS, numbers=(int((totals[0] + totals[1] > 0).sum()), int(totals[0].sum()), int(totals[1].sum())))
+    for chunk, part, answer in zip(group.column("chunk").to_pylist(), group.column("part").to_pylist(), answers):
+        yield row(TOTALS, chunk, part, tuple(answer))
+
+
+def counted_rows(group: pa.Table, counted_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk from its texts and the totals of all parts: the counts of its tokens in all training documents,
+    and how often its deleted documents' tokens have which estimates by counted documents."""
+    texts, answers = group.slice(0, 1).to_pylist()[0], group.slice(1)
+    chunk = Chunk(texts)
+    end = int(chunk.word[-1])  # the last token of a text
+    # the parts are ranges of the hashes, so their answers stand in the order of the sorted words and pairs
+    word_counts, pair_counts = ([np.concatenate([unpack(a.as_py(), np.int64) for a in answers.column(f"p{at + i}")]) for i in (0, 1)] for at in (0, 2))
+    chosen = np.flatnonzero(np.repeat(chunk.role == DELETED, chunk.lengths))
+    if len(chosen):
+        word, pair = chunk.word[chosen], chunk.pair[chosen]
+        history = word_counts[0][before(chunk.word, chunk.lengths, end)[chosen]]
+        two, one = ratio(pair_counts[0][pair], history), ratio(word_counts[0][word], np.full(len(word), counted_tokens))
+        with np.errstate(divide="ignore"):
+            steps = [np.where(p > 0, np.rint(np.log10(p) / STEP), 1).astype(np.int64) for p in (two, one)]
+        key, n = np.unique(np.stack([bucket_of(history), *steps], axis=1), axis=0, return_counts=True)
+        nothing = [pa.nulls(len(n), k) for k in (pa.int64(), pa.int32(), *[pa.binary()] * 6)]
+        numbers = [pa.array(c, pa.int64()) for c in (*key.T, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), ESTIMATE), pa.int32()), *nothing, *numbers], NAMES)
+    one, two = sum(word_counts), sum(pair_counts)
+    yield row(SUMS, texts["chunk"], packed=(texts["p0"], texts["p1"], texts["p2"], pack(one[chunk.word]), pack(two[chunk.pair])), numbers=(int(one[end]),))
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -253,9 +236,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     """
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_BACK)) == 0
     role = F.when(~training, TEST).when(held, DELETED).otherwise(COUNTED).cast("int").alias("role")
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).head()
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).head()
     parts = max(LEAST_PARTS, -(-(size["bytes"] or 0) // PART_BYTES))
-    frequent = frequent_words(docs, size["n"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, at, held_tokens = TaskContext.get().partitionId() << 24, 0, 0
@@ -267,99 +249,59 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 roles.append(batch.column(2)[i].as_py())
                 held_tokens += len(texts[-1])
                 if held_tokens >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
-                    yield from chunk_rows(first + at, ids, roles, texts, parts, frequent)
+                    yield text_row(first + at, ids, roles, texts)
                     at, held_tokens, ids, roles, texts = at + 1, 0, [], [], []
         if ids:
-            yield from chunk_rows(first + at, ids, roles, texts, parts, frequent)
+            yield text_row(first + at, ids, roles, texts)
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role).mapInArrow(chunks, FIELDS)
-    table = settle(packed, "tokens")
-    in_parts = table.where(F.col("kind") == TOKENS).repartition(SPREAD * parts, "part").sortWithinPartitions("part")
+    table = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role).mapInArrow(chunks, FIELDS), "tokens")
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class, by_word = np.zeros((2, CLASSES), np.int64), np.zeros((2, max(1, len(frequent))), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seen = unpack(batch.column(0)[i].as_py(), np.uint32)
-                by_class[:, seen] += unpack(batch.column(1)[i].as_py(), np.int64).reshape(2, -1)
-                by_word += unpack(batch.column(2)[i].as_py(), np.int64).reshape(2, -1)
-        for at, counts in ((0, by_class), (CLASSES, by_word)):
-            seen = np.flatnonzero(counts.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(seen + at), pa.array(counts[0, seen]), pa.array(counts[1, seen])], ["at", "counted", "deleted"])
-
-    summed = (
-        table.where(F.col("kind") == TOTALS).select("words", "reps", "classes").mapInArrow(totals, "at long, counted long, deleted long")
-        .groupBy("at").agg(F.sum("counted").alias("counted"), F.sum("deleted").alias("deleted")).toPandas()
-    )  # one row per history class and frequent word: at most 2^16 + 2000
-    by_class, by_word = np.zeros((2, CLASSES), np.int64), np.zeros((2, len(frequent)), np.int64)
-    for counts, own, shift in ((by_class, summed[summed["at"] < CLASSES], 0), (by_word, summed[summed["at"] >= CLASSES], CLASSES)):
-        counts[:, own["at"].to_numpy() - shift] = own[["counted", "deleted"]].to_numpy().T
-    counted_tokens, all_tokens = int(by_class[0].sum()), int(by_class.sum())
-
-    def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Steps of both estimates for the deleted documents' tokens, counted; and the distinct words."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in each_row(batches):
+            yield from Chunk(texts).asked(texts["chunk"], parts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in each_key(batches, ["part"]):
-            part = Part(group, (COUNTED,), frequent, by_word[0])
-            found: Counter = Counter()
-            new = np.zeros(len(part.names), bool)
-            for i in range(group.num_rows):
-                number, cls, doc, roles = part.records(i)
-                of_token = roles[doc]
-                new[number[of_token != TEST]] = True
-                number, cls = number[of_token == DELETED], cls[of_token == DELETED]
-                two, one = ratio(part.seen(number, cls), by_class[0][cls]), ratio(part.words[number], np.full(len(number), counted_tokens))
-                with np.errstate(divide="ignore"):
-                    steps = [np.where(p > 0, np.rint(np.log10(p) / STEP), 1).astype(np.int64) for p in (two, one)]
-                key, n = np.unique(np.stack([bucket_of(by_class[0][cls]), *steps], axis=1), axis=0, return_counts=True) if len(number) else (np.zeros((0, 3), int), np.zeros(0, int))
-                found.update(dict(zip(map(tuple, key.tolist()), n.tolist())))
-            distinct = int(new.sum()) - int(new[np.isin(part.names, frequent)].sum())
-            rows = [(-1, 1, 1, distinct), *((*k, n) for k, n in found.items())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["bucket", "two", "one", "n"])
-
-    found = in_parts.mapInArrow(estimates, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+            yield from part_rows(group)
+
+    in_parts = table.mapInArrow(ask, FIELDS).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    totals = settle(in_parts.mapInArrow(add_up, FIELDS), "totals")
+    summed = totals.where(F.col("kind") == COUNTS).agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(3)]).head()
+    vocabulary, counted_tokens, all_tokens = summed[0], summed[1], summed[1] + summed[2]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in each_key(batches, ["chunk"]):
+            yield from counted_rows(group, counted_tokens)
+
+    both = table.unionByName(totals.where(F.col("kind") == TOTALS))
+    met = settle(both.repartition(parts, F.col("chunk")).sortWithinPartitions("chunk", "part").mapInArrow(meet, FIELDS), "counted")
+    discard(table, totals)
+    found = met.where(F.col("kind") == ESTIMATE).groupBy("n0", "n1", "n2").agg(F.sum("n3").alias("n"))
     found = settle(found, "estimates")
     collected = found.collect()  # buckets x steps: a few ten thousand rows
     discard(found)
-    vocabulary = sum(r["n"] for r in collected if r["bucket"] < 0) + int((by_word.sum(axis=0) > 0).sum())
-    weights = learn_weights(
-        [(r["bucket"], None if r["two"] > 0 else r["two"], None if r["one"] > 0 else r["one"], r["n"]) for r in collected if r["bucket"] >= 0], vocabulary
-    )
-    history, of_bucket = by_class.sum(axis=0), bucket_of(by_class.sum(axis=0))
+    weights = learn_weights([(r["n0"], None if r["n1"] > 0 else r["n1"], None if r["n2"] > 0 else r["n2"], r["n"]) for r in collected], vocabulary)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in each_key(batches, ["part"]):
-            part = Part(group, (COUNTED, DELETED), frequent, by_word.sum(axis=0))
-            base = np.log10((part.words + 0.5) / (all_tokens + 0.5 * (vocabulary + 1)))
-            for i in range(group.num_rows):
-                number, cls, doc, roles = part.records(i)
-                w = weights[of_bucket[cls]]
-                p = w[:, 0] * ratio(part.seen(number, cls), history[cls]) + w[:, 1] * (part.words[number] / max(1, all_tokens)) + w[:, 2] / (vocabulary + 1)
-                n = len(roles)
-                columns = [
-                    pack(np.rint(np.bincount(doc, x, minlength=n) * unit).astype(np.int64))
-                    for x, unit in ((base[number], BASE_UNIT), (np.log10(p), SCORE_UNIT), (part.words[number] > 0, 1))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [group.column("chunk").slice(i, 1).combine_chunks(), group.column("part").slice(i, 1).combine_chunks(), *(pa.array([c], pa.binary()) for c in columns)],
-                    ["chunk", "part", "x", "y", "z"],
-                )
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in each_key(batches, ["chunk"]):
-            rows = group.to_pylist()
-            listed = next(r for r in rows if r["part"] < 0)
-            ids, lengths, missing = unpack(listed["x"], np.int64), unpack(listed["y"], np.int64), unpack(listed["z"], np.uint8)
-            total = np.zeros((3, len(ids)), np.int64)
-            for r in rows:
-                if r["part"] >= 0:
-                    total += np.stack([unpack(r[c], np.int64) for c in "xyz"])
+        for r in each_row(batches):
+            ids, missing, lengths = unpack(r["p0"], np.int64), unpack(r["p1"], np.uint8), unpack(r["p2"], np.int64)
+            one, two = unpack(r["p3"], np.int64), unpack(r["p4"], np.int64)
+            history, of = before(one, lengths, r["n0"]), np.repeat(np.arange(len(ids)), lengths)
+            total = np.zeros((3, len(ids)))
+            for start in range(0, len(one), TOKENS_AT_ONCE):
+                c, h, pair, doc = (x[start : start + TOKENS_AT_ONCE] for x in (one, history, two, of))
+                w = weights[bucket_of(h)]
+                p = w[:, 0] * ratio(pair, h) + w[:, 1] * (c / max(1, all_tokens)) + w[:, 2] / (vocabulary + 1)
+                base = (c + 0.5) / (all_tokens + 0.5 * (vocabulary + 1))
+                low = doc[0]
+                own = np.stack([np.bincount(doc - low, x) for x in (c > 0, np.log10(base), np.log10(p))])
+                total[:, low : low + own.shape[1]] += own
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=missing > 0), pa.array(lengths), pa.array(total[2]), pa.array(total[0] / BASE_UNIT), pa.array(total[1] / SCORE_UNIT)],
+                [pa.array(ids, mask=missing > 0), pa.array(lengths), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])],
                 ["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    scored = settle(in_parts.mapInArrow(sums, "chunk long, part int, x binary, y binary, z binary"), "sums")
-    lists = table.where(F.col("kind") == LIST).select("chunk", F.lit(-1).alias("part"), F.col("words").alias("x"), F.col("reps").alias("y"), F.col("classes").alias("z"))
-    met = scored.unionByName(lists).repartition(F.col("chunk")).sortWithinPartitions("chunk")
-    out = met.mapInArrow(together, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    counted = met.where(F.col("kind") == SUMS).select("p0", "p1", "p2", "p3", "p4", "n0")
+    out = settle(counted.mapInArrow(sums, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
+    discard(met)
     return out.withColumn("train_tokens", F.lit(all_tokens).cast("long"))

@@ -284,6 +284,41 @@ def test_language_model_does_not_depend_on_layout(spark, monkeypatch):
         assert abs(r["score"] - two[i]["score"]) < 1e-6 and r["n_known"] == two[i]["n_known"]
 
 
+def test_language_model_counts_the_word_before(spark, texts):
+    """The interpolated score by brute force: c(h) and c(h, w) of the word before itself, not of a class of words."""
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r["score"] for r in result(spark, "op8_language_model")}
+    ids = spark.createDataFrame([(i,) for i in texts], "doc_id long")
+    held_back = {r[0] for r in ids.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(language_model.HELD_BACK)) == 0).collect()}
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
+    training = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+
+    def counts(docs):
+        words, pairs = Counter(), Counter()
+        for i in docs:
+            words.update(tokens[i])
+            pairs.update(zip([None, *tokens[i][:-1]], tokens[i]))
+        return words, pairs, sum(words.values())
+
+    words, pairs, total = counts(i for i in training if i not in held_back)
+    found = Counter()
+    step = lambda p: round(math.log10(p) / language_model.STEP) if p else None
+    for i in training:
+        if i in held_back:
+            for h, w in zip([None, *tokens[i][:-1]], tokens[i]):
+                found[math.ceil(math.log2(words[h] + 1)), step(pairs[h, w] / words[h] if words[h] else 0), step(words[w] / total)] += 1
+    words, pairs, total = counts(training)
+    assert len(words) > 10_000
+    weights = language_model.learn_weights([(*k, n) for k, n in found.items()], len(words))
+    for i, own in tokens.items():
+        score = 0.0
+        for h, w in zip([None, *own[:-1]], own):
+            a, b, c = weights[math.ceil(math.log2(words[h] + 1))]
+            score += math.log10((a * pairs[h, w] / words[h] if words[h] else 0) + b * words[w] / total + c / (len(words) + 1))
+        assert abs(got[i] - score) < 1e-6 * max(1, len(own))
+
+
 def test_weights_by_expectation_maximisation():
     rows = [(3, -50, -100, 1000), (3, None, -100, 500), (5, -10, -150, 1000)]
     w = language_model.learn_weights(rows, 1000)
