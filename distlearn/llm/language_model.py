@@ -21,13 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discard
-from .common import each_key, settle
+from .common import each_key, pack, settle, unpack
 
 CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 60_000
@@ -63,16 +62,6 @@ def pairs_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before(words, lengths, END) * np.uint64(0x9E3779B97F4A7C15) + words
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes, those of one significance side by side."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 3)
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 FIELDS = "kind int, chunk long, part int, " + ", ".join(f"p{i} binary" for i in range(6)) + ", " + ", ".join(f"n{i} long" for i in range(4))
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 TEXTS, ASKED, TOTALS, SUMS, ESTIMATE, COUNTS = range(6)  # kinds of rows

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -101,3 +102,60 @@ def test_clashing_names_and_maps(spark):
     docs = spark.createDataFrame([(1, "one text", {"a": 1}, 5), (2, "one text", {"b": 2}, 6), (3, "another", None, 7)], "doc_id long, text string, kept map<string,int>, class long")
     got = near_copies.drop_near_copies(docs)
     assert got.columns == docs.columns and sorted((r["doc_id"], r["class"]) for r in got.collect()) == [(1, 5), (3, 7)]
+
+
+def test_fingerprints_are_simhash():
+    """Bits differ in the share angle / pi, also in texts of few shingles; equal texts have equal fingerprints."""
+    draw = np.random.default_rng(3)
+    for size, common in ((5, 4), (9, 8), (100, 90), (1000, 890), (400, 0)):
+        share = []
+        for _ in range(40):
+            h = draw.integers(0, 2**63, 2 * size - common, np.uint64)
+            share.append(near_copies.equal_bits(near_copies.signature(h[:size]), near_copies.signature(h[size - common :])[None])[0])
+        assert abs(np.mean(share) - (1 - np.arccos(common / size) / np.pi)) < 0.02
+    assert near_copies.signature(h).dtype == np.uint64 and near_copies.signature(h).size * 64 == near_copies.BITS
+
+
+@pytest.mark.parametrize("words, changed", [(49, 24), (9, 8)])
+def test_pairs_at_the_threshold_meet(spark, words, changed):
+    """Texts with 40 of 50 shingles in common (0.8), and with four of five in a text and its beginning: few loose pairs are missed."""
+    draw, rows = random.Random(11), []
+    for i in range(500):
+        start = [f"w{i}x{draw.randrange(5000)}" for _ in range(words)]
+        rows += [(2 * i, " ".join(start)), (2 * i + 1, " ".join(start[:changed] + (["other"] + start[changed + 1 :] if words > 9 else [])))]
+    sets = [near_copies.shingles(t) for _, t in rows]
+    assert all(near_copies.similarity(sets[2 * i], sets[2 * i + 1]) >= 0.8 for i in range(500))
+    marked = near_copies.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = near_copies.loose_groups(marked)
+    assert "bands" not in marked.columns and groups.count() >= 2 * 496
+    assert len(kept(spark, rows)) <= 504
+
+
+def test_segments_follow_the_number_of_texts():
+    for texts in (100, 10_000, 1_000_000):
+        places = near_copies.segments(texts)
+        assert 2 ** places.shape[1] > 16 * texts
+        assert near_copies.chance_of_missing(places.shape[1], len(places), near_copies.DIFFER) <= near_copies.MISS
+
+
+def test_many_pieces_of_a_segment_meet(spark, monkeypatch):
+    """Segments cut into ranges find the same groups."""
+    draw = random.Random(12)
+    texts = [t for _ in range(60) for start in [prose(draw, 80)] for t in (start, altered(draw, start, 1))]
+    marked = near_copies.signatures(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    groups = []
+    for part in (near_copies.PART, 7):
+        monkeypatch.setattr(near_copies, "PART", part)
+        together = {}
+        for r in near_copies.loose_groups(marked).collect():
+            together.setdefault(r["group"], set()).add(r["class"])
+        groups.append(sorted(map(sorted, together.values())))
+    assert groups[0] == groups[1] and len(groups[0]) >= 59
+
+
+def test_near_copies_in_one_group_travel_once(spark):
+    """Of a large group in one component only the strangers meet all pieces; no row is made for each two pieces."""
+    rows = [(0, 5, i, 1) for i in range(1000)] + [(0, 5, 1000 + i, 1000 + i) for i in range(3)]
+    members = spark.createDataFrame(rows, "part int, key long, id long, root long")
+    assert near_copies.across_components(members, 10).count() == 1003 + 3 * 101
+    assert near_copies.inside_pieces(members, 10).count() == 1003
