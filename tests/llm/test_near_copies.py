@@ -159,3 +159,12 @@ def test_near_copies_in_one_group_travel_once(spark):
     members = spark.createDataFrame(rows, "part int, key long, id long, root long")
     assert near_copies.across_components(members, 10).count() == 1003 + 3 * 101
     assert near_copies.inside_pieces(members, 10).count() == 1003
+
+
+def test_a_component_is_dealt_once_for_all_segments(spark):
+    """Three texts ask for a component of 100: its texts have one row each, those that ask one for each piece."""
+    texts = spark.createDataFrame([(i, 0) for i in range(100)] + [(i, i) for i in range(100, 103)], "id long, root long")
+    asks = spark.createDataFrame([(i, i, 0) for i in range(100, 103)], "id long, root long, asked long")
+    assert near_copies.asked_components(texts, asks, 10).count() == 100 + 3 * 10
+    groups, roots = np.array([5, 5, 5, 7, 7, 7, 7]), np.array([2, 1, 2, 4, 3, 3, 3])
+    assert near_copies.largest_roots(groups, roots).tolist() == [2, 2, 2, 3, 3, 3, 3]
