@@ -85,3 +85,13 @@ def test_sql_functions(spark, gauss):
         assert both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-9).count() == 0
     register(spark, dl.PCA(n_components=2).fit(gauss), "axes")
     assert spark.sql("SELECT size(axes(features)) AS n FROM gauss_rows").distinct().collect()[0]["n"] == 2
+
+
+def test_sums_of_sparse_vectors_do_not_spread_them_out(spark):
+    """A vector as long as a vocabulary of two billion words holds three numbers."""
+    from pyspark.ml.linalg import Vectors
+
+    from distlearn.queries import _vector_sums
+
+    df = spark.createDataFrame([(0, Vectors.sparse(2_000_000_000, [1, 5, 1_999_999_999], [1.0, 2.0, 4.0])), (1, Vectors.sparse(9, [], [])), (2, Vectors.dense([1.0, 2.5]))], ["id", "features"])
+    assert {r["id"]: r["s"] for r in df.select("id", _vector_sums(df).alias("s")).collect()} == {0: 7.0, 1: 0.0, 2: 3.5}
