@@ -5,7 +5,8 @@ that lies wholly within eps of a point adds its weight without looking inside, a
 of diameter <= eps with enough weight is one lump of core points. Only the remaining cells
 are compared block by block, and each comparison returns at most one row per point: a
 count, a spanning set of links, or the smallest neighbouring cluster. Rows with up to three features go through
-the grid of ``grid.py`` instead.
+the grid of ``grid.py`` instead. Where eps reaches into most cells (a sample of points tells), sending a point to each
+would take more disk than the points by far; then all blocks of points meet as in ``blocks.py``, with the same results.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import to_matrix
+from .blocks import Kernel, across, packed, tiles
 from .cells import (
     COPIES,
     LARGE,
@@ -41,6 +43,8 @@ from .order import dense_index
 from .skew import hot_join
 
 NOISE = -1
+VISITS = 8  # cells that a point may have to be sent to, on average
+ASKED = 2000  # points that tell how many it would be
 
 
 def density_clusters(rows: DataFrame, eps: float, min_samples: int, cell_rows: int) -> DataFrame:
@@ -70,6 +74,10 @@ def _cell_clusters(groups: DataFrame, distinct: int, eps: float, min_samples: in
     points = settle(assign(groups, cells), "points")
     measure(points, cells, "weight")
 
+    if _visits(points, cells, distinct, eps) > VISITS:
+        labelled = _block_clusters(points.select("id", "x", "weight"), distinct, eps, min_samples)
+        discard(points)
+        return labelled
     lumps = (2.0 * cells.radius <= eps) & (cells.weight >= min_samples)
     core = _core_points(points, cells, lumps, eps, min_samples)
     filled = Cells(cells.pivots)
@@ -82,6 +90,128 @@ def _cell_clusters(groups: DataFrame, distinct: int, eps: float, min_samples: in
     return labelled
 
 
+def _visits(points: DataFrame, cells: Cells, count: int, eps: float) -> float:
+    """Cells that reach into eps of a point but don't lie within it, on average over about ASKED points."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _parts(batches, cells):
+            low, high = cells.bounds(x)
+            yield pa.RecordBatch.from_arrays([pa.array(((low <= eps) & (high > eps)).sum(axis=1))], ["n"])
+
+    drawn = points.select("id", "x").where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // ASKED))) == 0)
+    return drawn.mapInArrow(opened, "n long").agg(F.avg("n")).head()[0] or 0.0
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    return np.concatenate([within(a[t], b, eps) for t in tiles(len(a))])
+
+
+def _block_clusters(points: DataFrame, count: int, eps: float, need: int) -> DataFrame:
+    """Points (id, x, weight) -> (id, cluster) of core and border points, by products of blocks."""
+    d = points.select(F.size("x")).head()[0]
+
+    class Count(Kernel):
+        def begin(self, q):
+            self.q, self.sums = q, np.zeros(len(q["id"]), np.int64)
+
+        def meet(self, p):
+            near, ones = _near(self.q["x"], p["x"], eps), (p["weight"] == 1).all()
+            self.sums += np.count_nonzero(near, axis=1) if ones else (near @ p["weight"].astype(np.float64)).astype(np.int64)
+
+        def end(self):
+            yield pa.RecordBatch.from_arrays([pa.array(self.q["id"]), pa.array(self.sums)], ["id", "n"])
+
+    whole = settle(packed(points, d, "weight"), "blocks")
+    counted = across(whole.select("no", "id", "x"), whole, count, count, d, Count, "id long, n long")
+    dense = settle(counted.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("id"), "dense")
+    core = settle(points.join(dense, "id", "left_semi").select("id", "x"), "core")
+    cores = core.count()
+    if not cores:
+        discard(whole, dense, core)
+        return points.select("id", F.lit(NOISE).cast("long").alias("cluster")).limit(0)
+    mine = settle(packed(core, d), "blocks")
+    found = across(mine, mine, cores, cores, d, lambda: _Spanning(eps), "u long, v long")
+    roots = connected_components(found)
+    rooted = core.select("id").join(roots, core["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = settle(rooted, "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    numbered = dense_index(firsts, "first", "cluster").select("root", "n", "cluster")
+    clustered = settle(hot_join(rooted, numbered, "root", "n", F.xxhash64("id"), total=cores).select("id", "cluster"), "clustered")
+    rest = settle(points.join(dense, "id", "left_anti").select("id", "x"), "rest")
+    named = settle(packed(core.join(clustered, "id"), d, "cluster"), "blocks")
+
+    class Least(Kernel):
+        def begin(self, q):
+            self.q, self.least = q, np.full(len(q["id"]), LARGE)
+
+        def meet(self, p):
+            for t in tiles(len(self.least)):
+                near = within(self.q["x"][t], p["x"], eps)
+                self.least[t] = np.minimum(self.least[t], np.where(near, p["cluster"][None, :], LARGE).min(axis=1))
+
+        def end(self):
+            got = self.least < LARGE
+            yield pa.RecordBatch.from_arrays([pa.array(self.q["id"][got]), pa.array(self.least[got])], ["id", "cluster"])
+
+    reached = across(packed(rest, d), named, rest.count(), cores, d, Least, "id long, cluster long")
+    border = reached.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    labelled = settle(clustered.unionByName(border), "labelled")
+    discard(whole, dense, core, mine, rooted, clustered, rest, named)
+    return labelled
+
+
+class _Spanning(Kernel):
+    """Links of all points that a task met to the smallest number of their component; pairs of blocks are looked at once."""
+
+    def __init__(self, eps: float):
+        self.eps, self.at, self.ids = eps, {}, []
+        self.parent = np.zeros(0, np.int64)
+
+    def _numbers(self, block: dict) -> np.ndarray:
+        if block["no"] not in self.at:
+            first = len(self.parent)
+            self.at[block["no"]] = np.arange(first, first + len(block["id"]))
+            self.parent = np.concatenate([self.parent, self.at[block["no"]]])
+            self.ids.append(block["id"].copy())
+        return self.at[block["no"]]
+
+    def _roots(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.parent[nodes]
+        while (self.parent[root] != root).any():
+            root = self.parent[root]
+        self.parent[nodes] = root
+        return root
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            a, b = self._roots(a), self._roots(b)
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+    def meet(self, p: dict) -> None:
+        if p["no"] < self.q["no"]:
+            return  # another task or block has the pair the other way round
+        mine, theirs = self._numbers(self.q), self._numbers(p)
+        for t in tiles(len(mine)):
+            near = within(self.q["x"][t], p["x"], self.eps)
+            while True:
+                crossing = near & (self._roots(mine[t])[:, None] != self._roots(theirs)[None, :])
+                rows, cols = crossing.any(axis=1), crossing.any(axis=0)
+                if not rows.any():
+                    break
+                self._join(mine[t][rows], theirs[crossing[rows].argmax(axis=1)])
+                self._join(mine[t][crossing[:, cols].argmax(axis=0)], theirs[cols])
+
+    def last(self) -> Iterator[pa.RecordBatch]:
+        if self.ids:
+            ids, root = np.concatenate(self.ids), self._roots(np.arange(len(self.parent)))
+            far = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
+
+
 def _flag(values: np.ndarray) -> Column:
     return F.element_at(F.expr(f"array({','.join('true' if v else 'false' for v in values)})"), F.col("cell") + 1)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import blocks
-from test_scale import check_nearest
+from distlearn.plans import blocks, density
+from test_scale import check_density, check_nearest
 
 
 @pytest.fixture
@@ -60,3 +60,24 @@ def test_votes_of_many_features(spark, small_blocks):
     shares = {r["id"]: r["p"][1] for r in model.predict_proba(df).collect()}
     assert {k: np.round(v, 6) for k, v in shares.items()} == {k: np.round(v, 6) for k, v in want.items()}
     assert {r["id"]: r["prediction"] for r in model.predict(df).collect()} == {k: int(v > 0.5) for k, v in want.items()}
+
+
+@pytest.mark.parametrize(("eps", "need"), [(3.6, 3), (4.2, 9), (1e-6, 2), (100.0, 5)])
+def test_density_where_eps_reaches_most_cells(spark, small_blocks, monkeypatch, eps, need):
+    monkeypatch.setattr(density, "_core_points", None)  # no point is sent to the cells
+    monkeypatch.setattr(density, "VISITS", -1)
+    check_density(make_gaussian(500, 12, spark=spark), eps, need, cell_rows=20)
+
+
+def test_density_of_copies_in_blocks(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(density, "COPIES", 20)
+    monkeypatch.setattr(density, "VISITS", -1)
+    value = F.when(F.col("id") % 2 == 0, F.col("id") % 3).otherwise(F.col("id") % 37).cast("double")
+    df = spark.range(400).select("id", F.array(*[value * (j + 1) for j in range(5)]).alias("features"))
+    check_density(df, 8.0, 12, cell_rows=40)
+
+
+def test_a_point_is_not_sent_to_every_cell(spark, monkeypatch):
+    """In 40 dimensions eps reaches nearly all of the cells."""
+    monkeypatch.setattr(density, "_core_points", None)
+    check_density(make_gaussian(600, 40, spark=spark), 6.5, 3, cell_rows=20)
