@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import blocks, density
+from distlearn.plans import blocks, density, lineage
 from test_scale import check_density, check_nearest
 
 
@@ -81,3 +81,24 @@ def test_a_point_is_not_sent_to_every_cell(spark, monkeypatch):
     """In 40 dimensions eps reaches nearly all of the cells."""
     monkeypatch.setattr(density, "_core_points", None)
     check_density(make_gaussian(600, 40, spark=spark), 6.5, 3, cell_rows=20)
+
+
+def files_on_disk(spark):
+    return {f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.getName().startswith("shuffle_")}
+
+
+def test_a_settled_step_leaves_no_shuffle_files(spark):
+    before, cleanup = files_on_disk(spark), spark.conf.get(lineage.CLEANUP)
+    lineage.settle(spark.range(1000).repartition(3).groupBy(F.col("id") % 7).count())
+    assert files_on_disk(spark) <= before and spark.conf.get(lineage.CLEANUP) == cleanup
+
+
+@pytest.mark.parametrize("make", [lambda **o: dl.TSNE(perplexity=5.0, **o), lambda **o: dl.UMAP(n_neighbors=5, **o)])
+def test_a_map_holds_no_disk_of_earlier_epochs(spark, make):
+    """Neither the neighbour search nor an epoch leaves its shuffles behind."""
+    df = make_gaussian(200, 12, spark=spark).cache()
+    df.count()
+    before = files_on_disk(spark)
+    assert make(max_iter=4, cell_rows=20).fit_transform(df).count() == 200
+    left = files_on_disk(spark) - before
+    assert len(left) < 40  # of the searches' counts, not of the steps
