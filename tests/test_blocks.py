@@ -102,3 +102,17 @@ def test_a_map_holds_no_disk_of_earlier_epochs(spark, make):
     assert make(max_iter=4, cell_rows=20).fit_transform(df).count() == 200
     left = files_on_disk(spark) - before
     assert len(left) < 40  # of the searches' counts, not of the steps
+
+
+def test_a_search_keeps_few_tables(spark):
+    """Steps of the walks and of the tree go when later ones no longer read them."""
+    from pathlib import Path
+
+    folder = Path(lineage.shared_folder(spark).removeprefix("file:")) / "distlearn"
+    df = make_gaussian(1500, 2, spark=spark).withColumn("label", F.col("features")[0])
+    before = set(folder.iterdir())
+    model = dl.KNeighborsRegressor(n_neighbors=3, cell_rows=10).fit(df)
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["nodes", "points"]
+    before = set(folder.iterdir())
+    assert model.predict(df).count() == 1500
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before if "hot_nodes" not in p.name] == ["found"]
