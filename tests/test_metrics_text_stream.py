@@ -95,3 +95,26 @@ def test_sums_of_sparse_vectors_do_not_spread_them_out(spark):
 
     df = spark.createDataFrame([(0, Vectors.sparse(2_000_000_000, [1, 5, 1_999_999_999], [1.0, 2.0, 4.0])), (1, Vectors.sparse(9, [], [])), (2, Vectors.dense([1.0, 2.5]))], ["id", "features"])
     assert {r["id"]: r["s"] for r in df.select("id", _vector_sums(df).alias("s")).collect()} == {0: 7.0, 1: 0.0, 2: 3.5}
+
+
+@pytest.mark.parametrize("options", [{}, {"ngram": 2}, {"min_df": 2.0}, {"max_features": 3}])
+def test_vectors_of_a_vocabulary_that_is_a_table(spark, monkeypatch, options):
+    """A large text's words never reach the driver; vectors are those of the vocabulary it would hold."""
+    from distlearn.operators import text
+
+    texts = ["Red fox, red DOG", "fox a", None, "red fox red dog red", "Red fox, red DOG", "", "zebra dog dog red"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for make in (dl.CountVectorizer, dl.TfidfVectorizer):
+        held = make(**options).fit(df)
+        with monkeypatch.context() as patched:
+            patched.setattr(text, "DRIVER_CHARACTERS", 0)
+            model = make(**options).fit(df)
+        assert not model.native and len(model.vocabulary) == len(held.vocabulary)
+
+        def named(m):
+            words = m.vocabulary
+            return {r["id"]: {words[i]: pytest.approx(v) for i, v in zip(r["features"].indices, r["features"].values)} for r in m.transform(df).collect()}
+
+        if "max_features" not in options:
+            assert named(model) == named(held)
+        assert sorted(named(model)) == list(range(7)) and model.transform(df).columns == held.transform(df).columns
