@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import distlearn as dl
 from distlearn.operators.datasets import make_gaussian
-from distlearn.plans import blocks, density, lineage
+from distlearn.plans import blocks, density, lineage, nearest
 from test_scale import check_density, check_nearest
 
 
@@ -116,3 +116,16 @@ def test_a_search_keeps_few_tables(spark):
     before = set(folder.iterdir())
     assert model.predict(df).count() == 1500
     assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before if "hot_nodes" not in p.name] == ["found"]
+
+
+def test_queries_walk_in_parts(spark, monkeypatch):
+    """Parts of the queries one after the other find what all find together; repeated ids stay in one part."""
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 150)
+    df = make_gaussian(400, 2, spark=spark)
+    walks, search = [], nearest._search
+    monkeypatch.setattr(nearest, "_search", lambda *a: walks.append(1) or search(*a))
+    check_nearest(df, df, 4, cell_rows=40)
+    assert len(walks) == 3
+    twice = df.unionByName(df.where("id < 50"))
+    model = dl.NearestNeighbors(n_neighbors=4, cell_rows=40).fit(df)
+    assert model.kneighbors(twice).count() == 400 * 4
